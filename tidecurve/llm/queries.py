@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidecurve.llm import format_copies, packing, sampling, tokens
+from tidecurve.llm import format_copies, packing, sampling, split_overlap, tokens
 from tidecurve.shared import cut
 from tidecurve.sources.tables import table
 
@@ -14,6 +14,24 @@ SIGNATURE = ["bc", "sent_biclass"]
 SONG_TEXT, SONG_EXACT = ["title", "artist_name"], ["year", "duration"]
 
 
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    held_out = F.col("split").isin("valid", "test")
+    pairs, members = split_overlap.overlaps(table(spark, d, "tfrecords"), "rec_id", "img", "h", "w", F.col("split") == "train", held_out)
+    return cut(pairs, "p1-pairs"), members
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = split_overlap.overlap_rows(*_overlaps(spark, d))
+    return rows.select(
+        F.least("evaluation_key", "training_key").alias("rec_id_a"), F.greatest("evaluation_key", "training_key").alias("rec_id_b")
+    )
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "tfrecords").where(F.col("split").isin("valid", "test"))
+    return split_overlap.overlap_counts(*_overlaps(spark, d), records, "rec_id", ["split", "source"])
+
+
 def _sample_plan(spark: SparkSession, d: str) -> DataFrame:
     return sampling.plan_sample(table(spark, d, "tfrecords"), table(spark, d, "sample_targets"), SIGNATURE, "target_share", "min_rows", 0.2)
 
@@ -58,7 +76,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_report, p3_sample, p5_found, p5_records, p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_report, p3_sample, p5_found, p5_records, p6_ids, p7_containers, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
