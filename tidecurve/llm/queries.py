@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidecurve.llm import format_copies, packing, sampling, split_overlap, tokens
+from tidecurve.llm import format_copies, linkage, packing, sampling, split_overlap, tokens
 from tidecurve.shared import cut
 from tidecurve.sources.tables import table
 
@@ -49,6 +49,18 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw_sample(records, _sample_plan(spark, d), SIGNATURE, "rec_id")
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(
+        table(spark, d, "songs"), table(spark, d, "spotify_items"),
+        key="track_id", title="title", artist="artist_name", length=F.col("duration"),
+        other_key="spotify_track_id", other_title="name", other_artist="artists", other_length=F.col("duration_ms") / 1000,
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_links(spark, d).select("track_id", "spotify_track_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = format_copies.copy_pairs(table(spark, d, "songs"), "track_id", SONG_TEXT, SONG_EXACT)
     return pairs.select(F.col("first_key").alias("track_id_a"), F.col("key").alias("track_id_b"))
@@ -76,7 +88,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p3_found, p3_report, p3_sample, p5_found, p5_records, p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_links, p3_found, p3_report, p3_sample, p5_found, p5_records, p6_ids, p7_containers, p7_report)}
 
 
 def oracle_sql() -> dict[str, str]:
