@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidecurve.llm import format_copies, linkage, packing, sampling, split_overlap, tokens
+from tidecurve.llm import format_copies, linkage, packing, personal, sampling, split_overlap, tokens
 from tidecurve.shared import cut
 from tidecurve.sources.tables import table
 
@@ -87,8 +87,16 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.occurrences(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_links, p3_found, p3_report, p3_sample, p5_found, p5_records, p6_ids, p7_containers, p7_report)}
+    return {f.__name__: f for f in (p1_found, p1_counts, p4_found, p4_links, p3_found, p3_report, p3_sample, p5_found, p5_records, p6_ids, p7_containers, p7_report, p8_found, p8_redacted)}
 
 
 def oracle_sql() -> dict[str, str]:

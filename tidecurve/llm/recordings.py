@@ -146,6 +146,7 @@ def read_title(title: str) -> tuple[list[str], str, bool, str, str]:
     return own, joined, cut, "+".join(sorted(kinds)), detail
 
 
+@lru_cache(maxsize=50_000)
 def read(title: str, artist: str | None) -> Reading:
     tokens, compact, cut, version, detail = read_title(title)
     names, lead, guests = [], [], False
