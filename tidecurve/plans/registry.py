@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidecurve.plans import compaction
+from tidecurve.plans import base, compaction
+from tidecurve.plans import signals  # noqa: F401  (registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**compaction.QUERIES}
+    return {**base.QUERIES, **compaction.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**compaction.ORACLE}
+    return {**base.ORACLE, **compaction.ORACLE}
