@@ -99,7 +99,10 @@ def merged(extrema: DataFrame, clip: float, min_dist: float = 0, step: int = 1)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = merge_extrema(list(zip(pdf["i"].astype(float), pdf["modality"], pdf["kind"])), clip, min_dist, step)
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[: len(out)].to_numpy(), "pos": [p for p, _ in out], "tags": ["+".join(t) for _, t in out]})
+        own = pdf.iloc[: len(out)][["series_id"]]  # never more highlights than extrema
+        if not out:
+            return own.assign(pos=0.0, tags="")
+        return own.assign(pos=[p for p, _ in out], tags=["+".join(t) for _, t in out])
 
     return extrema.groupBy("series_id").applyInPandas(one, f"series_id {kind}, pos double, tags string")
 
