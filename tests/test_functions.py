@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,23 @@ def test_scrambles_keep_pixels():
 def test_melgram_shape():
     assert I.log_melgram(np.zeros(30 * I.RATE)).shape == (96, 1407)
     assert I.log_melgram(np.zeros(20 * I.RATE)).shape == (96, 938)
+
+
+def test_sentences_of_every_script(spark, tmp_path):
+    from tidecurve.plans.functions import sentence_split_all
+
+    texts = {
+        1: "Der Bär schläft. Die Käfer nicht!", 2: "¿Dónde está? Aquí. Sí", 3: "Où va-t-il? À l'été.", 4: "Он ушёл. Она осталась!",
+        5: "彼は行った. 雨だ!", 6: "Plain text. Mr. Smith left.", 7: "kein Ende ä", 8: None, 9: "naïve \U0001f600. Ende.",
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(text):
+        out = f" {text}  "
+        for pattern, to in X.RULES:
+            out = re.sub(pattern, to, out, flags=re.ASCII)
+        return [s.strip(" ") for s in out.split("\x02")[:-1]]
+
+    expected = {k: (sum(map(len, s)), len(s), s[0], s[-1]) for k, t in texts.items() if t and (s := brute(t))}
+    got = {r["doc_id"]: (r["chars"], r["n"], r["first_sentence"], r["last_sentence"]) for r in sentence_split_all(spark, str(tmp_path)).collect()}
+    assert got == expected and len(got) == 7
