@@ -191,3 +191,34 @@ def test_credits_trim_compat(spark):
     df = frame(spark, [1, 2, 3], [1, 2, 3], [1, 2, 3])
     sizes = lambda compat: {r["series_id"]: len(r["y"]) for r in S.credits_trim(df, marks, compat).collect()}
     assert sizes(False) == {0: 0, 1: 2, 2: 3} and sizes(True) == {0: 3, 1: 2, 2: 3}
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 7, 31, 60])
+def test_warping_of_many_equals_one_by_one(n):
+    rng = np.random.default_rng(n)
+    x, y = np.round(rng.normal(size=(40, n)).cumsum(1), 1), np.round(rng.normal(size=(40, n)).cumsum(1), 1)
+    x[3, n // 2] = np.nan
+    each = lambda f: [f(a, b) for a, b in zip(x, y)]
+    for w in (None, 1, 5):
+        assert np.allclose(D.dtw_squared_many(x, y, w), each(lambda a, b: D.dtw_squared(a, b, w)), equal_nan=True)
+        assert np.allclose(D.spatio_temporal_many(x, y, w), each(lambda a, b: D.spatio_temporal(a, b, w)), equal_nan=True)
+    assert np.array_equal(D.fast_dtw_many(x, y, chunk=7), each(D.fast_dtw), equal_nan=True)
+
+
+@pytest.mark.parametrize(
+    "name,measure",
+    [
+        ("dtw_pairs", lambda x, y: brute_dtw(x, y, 5)),
+        ("dtw_sq_pairs", lambda x, y: brute_dtw(x, y, 5) ** 2),
+        ("fastdtw_pairs", D.fast_dtw),
+        ("spatiotemporal_dist", lambda x, y: math.sqrt(np.linalg.norm(x[:2] - y[:2]) + brute_dtw(x[2:], y[2:], 5) ** 2)),
+    ],
+)
+def test_warping_queries_measure_every_pair(spark, sf, name, measure):
+    from tidecurve.plans import curves, registry
+
+    own = {r["series_id"]: np.array(r["y"], float) for r in curves.prepared(spark, sf).collect()}
+    got = {(r["a"], r["b"]): r["d"] for r in registry.queries()[name](spark, sf).collect()}
+    assert got.keys() == {(a, b) for a in own for b in own if a < b} and len(got) > len(own)
+    for (a, b), d in got.items():
+        assert d == pytest.approx(measure(own[a], own[b]), abs=2e-6)

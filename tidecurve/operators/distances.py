@@ -136,11 +136,101 @@ def spatio_temporal(a: np.ndarray, b: np.ndarray, w: int) -> float:
     return math.sqrt(float(np.linalg.norm(a[:2] - b[:2])) + dtw_squared(a[2:], b[2:], w))
 
 
-def pairwise(arrays: DataFrame, distance: Callable[[np.ndarray, np.ndarray], float], blocks: int = BLOCKS) -> DataFrame:
-    """``(a, b, d)`` by a Python distance over Arrow batches of blocked pairs."""
+def dtw_squared_many(x: np.ndarray, y: np.ndarray, w: int | None = None) -> np.ndarray:
+    """``dtw_squared`` of the rows of two matrices, pair by pair."""
+    n, m = x.shape[1], y.shape[1]
+    if w:
+        w = max(w, abs(n - m))
+    before = np.full((len(x), m + 1), np.inf)
+    before[:, 0] = 0.0
+    for i in range(1, n + 1):
+        lo, hi = (max(0, i - 1 - w) + 1, min(m, i - 1 + w)) if w else (1, m)
+        row = np.full((len(x), m + 1), np.inf)
+        if hi >= lo:
+            total = np.cumsum((x[:, i - 1, None] - y[:, lo - 1 : hi]) ** 2, 1)
+            start = np.minimum(before[:, lo : hi + 1], before[:, lo - 1 : hi])
+            start[:, 1:] -= total[:, :-1]
+            row[:, lo : hi + 1] = total + np.minimum.accumulate(start, 1)
+        before = row
+    return before[:, m]
+
+
+def dtw_many(x: np.ndarray, y: np.ndarray, w: int | None = None) -> np.ndarray:
+    return np.sqrt(dtw_squared_many(x, y, w))
+
+
+def spatio_temporal_many(x: np.ndarray, y: np.ndarray, w: int) -> np.ndarray:
+    return np.sqrt(np.linalg.norm(x[:, :2] - y[:, :2], axis=1) + dtw_squared_many(x[:, 2:], y[:, 2:], w))
+
+
+def fast_dtw_many(x: np.ndarray, y: np.ndarray, radius: int = 1, chunk: int = 2000) -> np.ndarray:
+    """``fast_dtw`` of the rows of two matrices, pair by pair."""
+    parts = [_refine_many(x[k : k + chunk], y[k : k + chunk], radius)[0] for k in range(0, len(x), chunk)]
+    out = np.concatenate(parts) if parts else np.empty(0)
+    for k in np.flatnonzero(~np.isfinite(out)):  # gaps in a curve or in a band
+        out[k] = fast_dtw(x[k], y[k], radius)
+    return out
+
+
+def _refine_many(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    (size, n), m = a.shape, b.shape[1]
+    if n < radius + 3 or m < radius + 3:
+        return _banded_many(a, b, np.zeros((size, n), int), np.full((size, n), m - 1))
+    half = lambda x: x[:, : x.shape[1] // 2 * 2].reshape(size, -1, 2).mean(2)
+    _, path = _refine_many(half(a), half(b), radius)
+    low, high = np.full((size, n), m), np.full((size, n), -1)
+    for k, i, j in path:
+        first, last = np.maximum(0, 2 * (j - radius)), np.minimum(m - 1, 2 * (j + radius) + 1)
+        for off in range(-2 * radius, 2 * radius + 2):
+            x = 2 * i + off
+            ok = (x >= 0) & (x < n)
+            at = k[ok], x[ok]
+            low[at], high[at] = np.minimum(low[at], first[ok]), np.maximum(high[at], last[ok])
+    none = high < 0
+    low[none], high[none] = max(0, m - 2 - 2 * radius), m - 1
+    high[:, -1] = m - 1
+    return _banded_many(a, b, np.minimum.accumulate(low[:, ::-1], 1)[:, ::-1], np.maximum.accumulate(high, 1))
+
+
+def _banded_many(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Totals, and paths from the last cell back as steps ``(pair, i, j)`` of the pairs still under way."""
+    (size, n), m = a.shape, b.shape[1]
+    cells, back = np.full((n + 1, m + 1, size), np.inf), np.zeros((n, m, size), np.int8)
+    cells[0, 0] = 0.0
+    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    for i in range(n):
+        for j in range(low[:, i].min(), high[:, i].max() + 1):
+            slant, up, left = cells[i, j], cells[i, j + 1], cells[i + 1, j]
+            side = np.minimum(up, left)
+            back[i, j] = np.where(slant <= side, 0, np.where(up <= left, 1, 2))
+            inside = (low[:, i] <= j) & (j <= high[:, i])
+            cells[i + 1, j + 1] = np.where(inside, np.minimum(slant, side) + np.abs(x[i] - y[j]), np.inf)
+    path, k = [], np.arange(size)
+    i, j = np.full(size, n - 1), np.full(size, m - 1)
+    while len(k):
+        path.append((k, i, j))
+        step = back[i, j, k]
+        i, j = i - (step < 2), j - (step != 1)
+        on = (i >= 0) & (j >= 0)
+        k, i, j = k[on], i[on], j[on]
+    return cells[n, m], path
+
+
+Distance = Callable[[np.ndarray, np.ndarray], float]
+Distances = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def pairwise(arrays: DataFrame, distance: Distance, blocks: int = BLOCKS, many: Distances | None = None) -> DataFrame:
+    """``(a, b, d)`` by a Python distance over Arrow batches of blocked pairs.
+
+    ``many`` measures the rows of two matrices at once and takes the place of
+    ``distance`` where all curves of a batch are equally long.
+    """
 
     @F.pandas_udf("double")
     def measured(x: pd.Series, y: pd.Series) -> pd.Series:
+        if many and len(x) and len({*map(len, x)} | {*map(len, y)}) == 1:
+            return pd.Series(many(np.stack(x.to_list()).astype(float), np.stack(y.to_list()).astype(float)))
         return pd.Series([distance(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y)], dtype=float)
 
     return pairs(arrays, blocks).select("a", "b", measured("y_a", "y_b").alias("d"))

@@ -251,6 +251,7 @@ def edges(spark, d) -> DataFrame:
 
 @query("lb_keogh", f"select a, b, round(d, 4) as d from {lb_sql(PREPARED, 'e.series_id = x.series_id + 1')} z")
 def lb_keogh(spark, d):
+    """The bound of each curve with the next id, as its SQL has it; ``distance_matrix`` is the bound of all pairs."""
     lower, upper = D.envelope("y", RADIUS)
     own = cut(prepared(spark, d).select("series_id", "y", lower.alias("lo"), upper.alias("up")), "lb")
     other = own.select((F.col("series_id") - 1).alias("a"), F.col("series_id").alias("b"), "lo", "up")
@@ -267,39 +268,30 @@ def matrix_mirror(spark, d):
     return D.mirrored(cut(edges(spark, d), "mirror")).withColumn("d", F.round("d", 4))
 
 
-def _neighbours(spark, d, measure) -> DataFrame:
-    """Each curve with the next one: the warping family over n pairs."""
+def _warped(spark, d, measure: D.Distance, many: D.Distances) -> DataFrame:
+    """Every pair of curves once by a measure of the warping family."""
     own = cut(prepared(spark, d).select("series_id", "y"), "warp")
-    other = own.select((F.col("series_id") - 1).alias("a"), F.col("series_id").alias("b"), F.col("y").alias("y_b"))
-    both = own.select(F.col("series_id").alias("a"), F.col("y").alias("y_a")).join(other, "a")
-
-    @F.pandas_udf("double")
-    def measured(x, y):
-        import pandas as pd
-
-        return pd.Series([measure(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y)], dtype=float)
-
-    return both.select("a", "b", F.round(measured("y_a", "y_b"), 6).alias("d"))
+    return D.pairwise(own, measure, many=many).withColumn("d", F.round("d", 6))
 
 
 @query("dtw_pairs")
 def dtw_pairs(spark, d):
-    return _neighbours(spark, d, lambda x, y: D.dtw(x, y, RADIUS))
+    return _warped(spark, d, lambda x, y: D.dtw(x, y, RADIUS), lambda x, y: D.dtw_many(x, y, RADIUS))
 
 
 @query("dtw_sq_pairs")
 def dtw_sq_pairs(spark, d):
-    return _neighbours(spark, d, lambda x, y: D.dtw_squared(x, y, RADIUS))
+    return _warped(spark, d, lambda x, y: D.dtw_squared(x, y, RADIUS), lambda x, y: D.dtw_squared_many(x, y, RADIUS))
 
 
 @query("fastdtw_pairs")
 def fastdtw_pairs(spark, d):
-    return _neighbours(spark, d, D.fast_dtw)
+    return _warped(spark, d, D.fast_dtw, D.fast_dtw_many)
 
 
 @query("spatiotemporal_dist")
 def spatiotemporal_dist(spark, d):
-    return _neighbours(spark, d, lambda x, y: D.spatio_temporal(x, y, RADIUS))
+    return _warped(spark, d, lambda x, y: D.spatio_temporal(x, y, RADIUS), lambda x, y: D.spatio_temporal_many(x, y, RADIUS))
 
 
 @query("corr_distance", f"""with z as (select * from {PREPARED} q) select x.series_id as a, y.series_id as b, round(1 - corr(x.value, y.value), 4) as d
