@@ -222,3 +222,44 @@ def test_warping_queries_measure_every_pair(spark, sf, name, measure):
     assert got.keys() == {(a, b) for a in own for b in own if a < b} and len(got) > len(own)
     for (a, b), d in got.items():
         assert d == pytest.approx(measure(own[a], own[b]), abs=2e-6)
+
+
+def brute_kmeans(own, centres):
+    measure, curves = C.envelope_bound(5), np.array([own[k] for k in sorted(own)])
+    for _ in range(20):
+        near = np.stack([measure(curves, c) for c in centres], 1).argmin(1)
+        centres = [curves[near == k].mean(0) if (near == k).any() else c for k, c in enumerate(centres)]
+    return centres, np.stack([measure(curves, c) for c in centres], 1).min(1).mean()
+
+
+def test_elbow_and_completion_use_trained_centres(spark, sf):
+    from tidecurve.plans import curves, registry
+
+    arrays, run = curves.prepared(spark, sf), lambda name: registry.queries()[name](spark, sf).collect()
+    own = {r["series_id"]: np.array(r["y"], float) for r in arrays.collect()}
+    errors = {r["k"]: r["error"] for r in run("elbow_kmeans")}
+    assert sorted(errors) == [2, 3, 4, 5, 6]
+    for k, error in errors.items():
+        assert error == pytest.approx(brute_kmeans(own, C.seeds(arrays, k, 0))[1], abs=1e-4)
+
+    centres, _ = brute_kmeans(own, C.seeds(arrays, 4, 0))
+    heads = np.array([own[k][:5] for k in sorted(own)])
+    near = np.stack([C.envelope_bound(5)(heads, c[:5]) for c in centres], 1).argmin(1)
+    got = {(r["series_id"], r["i"]): (r["cluster"], r["value"]) for r in run("centroid_completion")}
+    assert len(got) == 55 * len(own)
+    for (series, i), (cluster, value) in got.items():
+        assert cluster == near[sorted(own).index(series)] and value == pytest.approx(centres[cluster][i], abs=2e-6)
+
+    ids = sorted(own)
+    bound = np.array([C.envelope_bound(5)(np.array([own[a]] * len(ids)), own[b]) for a in ids for b in ids])[:, 0].reshape(len(ids), -1)
+    d = np.triu(bound, 1) + np.triu(bound, 1).T
+    for r in run("elbow_kmedoids"):
+        drawn = [row["a"] for row in spark.createDataFrame([(i,) for i in ids], "a bigint").orderBy(F.xxhash64(F.lit(0), "a"), "a").limit(r["k"]).collect()]
+        medoids = sorted(ids.index(x) for x in drawn)
+        while True:
+            member = np.array(medoids)[d[:, medoids].argmin(1)]
+            new = sorted(min(np.flatnonzero(member == m), key=lambda x: (d[x, member == m].mean(), x)) for m in medoids)
+            if new == medoids:
+                break
+            medoids = new
+        assert r["error"] == pytest.approx(d[:, medoids].min(1).mean(), abs=1e-4)

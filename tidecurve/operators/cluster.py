@@ -72,9 +72,8 @@ def seeds(arrays: DataFrame, k: int, seed: int) -> list[np.ndarray]:
     return [np.asarray(r["y"], float) for r in rows]
 
 
-def kmeans(arrays: DataFrame, k: int, iterations: int, measure: Measure, seed: int = 0) -> DataFrame:
-    """``(series_id, cluster, dist)`` after the iterations, or as soon as no centre moves."""
-    own = cut(arrays.select("series_id", "y"), "kmeans")
+def trained(own: DataFrame, k: int, iterations: int, measure: Measure, seed: int = 0) -> list[np.ndarray]:
+    """The k centres after the iterations, or as soon as no centre moves; ``own`` is read once per iteration."""
     centres = seeds(own, k, seed)
     for _ in range(iterations):
         means = centroids(assign(own, centres, measure)).collect()  # k curves
@@ -84,7 +83,13 @@ def kmeans(arrays: DataFrame, k: int, iterations: int, measure: Measure, seed: i
         if all(np.allclose(a, b, atol=1e-12) for a, b in zip(moved, centres)):
             break
         centres = moved
-    return assign(own, centres, measure).drop("y")
+    return centres
+
+
+def kmeans(arrays: DataFrame, k: int, iterations: int, measure: Measure, seed: int = 0) -> DataFrame:
+    """``(series_id, cluster, dist)`` at the trained centres."""
+    own = cut(arrays.select("series_id", "y"), "kmeans")
+    return assign(own, trained(own, k, iterations, measure, seed), measure).drop("y")
 
 
 def medoid_assign(full: DataFrame, medoids: list) -> DataFrame:

@@ -342,12 +342,12 @@ def centroid_mean(spark, d):
 
 @query("centroid_completion")
 def centroid_completion(spark, d):
-    """Nearest cluster by the first five points; the centroid's points from the sixth on complete the curve."""
+    """Nearest k-means cluster by the first five points; its centroid's points from the sixth on complete the curve."""
     own = cut(prepared(spark, d).select("series_id", "y"), "complete")
-    first = [np.asarray(r["y"], float) for r in own.orderBy("series_id").limit(4).collect()]
+    centres = C.trained(own, 4, 20, C.envelope_bound(RADIUS))
     head = own.withColumn("y", F.slice("y", 1, 5))
-    near = C.assign(head, [c[:5] for c in first], C.envelope_bound(RADIUS)).select("series_id", "cluster")
-    tails = spark.createDataFrame([(k, [float(v) for v in c[5:]]) for k, c in enumerate(first)], "cluster int, tail array<double>")
+    near = C.assign(head, [c[:5] for c in centres], C.envelope_bound(RADIUS)).select("series_id", "cluster")
+    tails = spark.createDataFrame([(k, [float(v) for v in c[5:]]) for k, c in enumerate(centres)], "cluster int, tail array<double>")
     return near.join(F.broadcast(tails), "cluster").select("series_id", "cluster", F.posexplode("tail").alias("i", "value")).select("series_id", "cluster", (F.col("i") + 5).alias("i"), F.round("value", 6).alias("value"))
 
 
@@ -382,6 +382,7 @@ def medoid_update(spark, d):
     ks as (select k::int as k from range(2, 7) t(k)), near as (select k, f.a, min(f.d) as d from ks join ids on r <= k join full_ f on f.b = ids.series_id group by 1, 2)
     select k, round(sum(d) / count(*), 4) as error from near group by 1""")
 def elbow_error(spark, d):
+    """The step as its SQL has it: the smallest ids stand for centres.  ``elbow_kmeans`` and ``elbow_kmedoids`` train them."""
     full = cut(D.mirrored(cut(edges(spark, d), "elbow-edges")), "elbow")
     ids = [r[0] for r in full.select("a").distinct().orderBy("a").limit(6).collect()]
     ranked = spark.createDataFrame([(x, k) for k in range(2, 7) for x in ids[:k]], f"b {full.schema['a'].dataType.simpleString()}, k int")
@@ -389,6 +390,28 @@ def elbow_error(spark, d):
     return near.groupBy("k").agg(F.round(F.sum("d") / F.count(F.lit(1)), 4).alias("error"))
 
 
+def _elbow(clustered) -> DataFrame:
+    """Mean distance to the own centre of ``clustered(k)`` with its distance ``d``, for k = 2 to 6."""
+    out = None
+    for k in range(2, 7):
+        own = clustered(k).agg(F.lit(k).alias("k"), F.round(F.sum("d") / F.count(F.lit(1)), 4).alias("error"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("elbow_kmeans")
+def elbow_kmeans(spark, d):
+    own = cut(prepared(spark, d).select("series_id", "y"), "elbow-curves")
+    measure = C.envelope_bound(RADIUS)
+    return _elbow(lambda k: C.assign(own, C.trained(own, k, 20, measure), measure).select(F.col("dist").alias("d")))
+
+
+@query("elbow_kmedoids")
+def elbow_kmedoids(spark, d):
+    own = cut(edges(spark, d), "elbow-medoids")
+    return _elbow(lambda k: C.kmedoids(own, k))
+
+
 _GROUPS = f"(select series_id, case when series_id % 3 = 0 then 'even' when series_id % 3 = 1 then 'odd' else 'rest' end as grp from (select distinct series_id from {PREPARED} q))"
 
 
