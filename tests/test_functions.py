@@ -88,3 +88,14 @@ def test_sentences_of_every_script(spark, tmp_path):
     expected = {k: (sum(map(len, s)), len(s), s[0], s[-1]) for k, t in texts.items() if t and (s := brute(t))}
     got = {r["doc_id"]: (r["chars"], r["n"], r["first_sentence"], r["last_sentence"]) for r in sentence_split_all(spark, str(tmp_path)).collect()}
     assert got == expected and len(got) == 7
+
+
+def test_melgram_hears_the_whole_curve(spark, tmp_path):
+    from tidecurve.plans.functions import melgram
+
+    points = 2048 + 256 * 4
+    rows = spark.range(points + 30).selectExpr("id as event_id", f"if(id < {points}, 1L, 2L) as user_id", "timestamp_seconds(id) as ts", "if(id < 2048, 0d, sin(id))  as value", "'view' as event_type")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["series_id"]: r for r in melgram(spark, str(tmp_path)).collect()}
+    assert {k: r["frames"] for k, r in got.items()} == {1: 1 + points // 256, 2: 9}
+    assert got[1]["level"] > -100  # silence up to point 2048, sound after it

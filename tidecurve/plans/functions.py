@@ -257,11 +257,11 @@ def fit_length(spark, d):
 
 @query("melgram")
 def melgram(spark, d):
-    """Frames and mean level of each curve's log mel spectrogram, the curve repeated to 2048 samples."""
+    """Frames and mean level of each curve's log mel spectrogram, over the whole curve; a shorter one is repeated to 2048 samples."""
 
     @F.pandas_udf("struct<frames int, level double>")
     def run(y: pd.Series) -> pd.DataFrame:
-        grams = [I.log_melgram(np.resize(np.asarray(v, float), 2048)) for v in y]
+        grams = [I.log_melgram(np.resize(np.asarray(v, float), max(2048, len(v)))) for v in y]
         return pd.DataFrame({"frames": [g.shape[1] for g in grams], "level": [round(float(g.mean()), 6) for g in grams]})
 
     return S.settled(arrays(spark, d), m=run("y")).select("series_id", "m.frames", "m.level")
