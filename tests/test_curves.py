@@ -263,3 +263,19 @@ def test_elbow_and_completion_use_trained_centres(spark, sf):
                 break
             medoids = new
         assert r["error"] == pytest.approx(d[:, medoids].min(1).mean(), abs=1e-4)
+
+
+def hot(spark, path, points):
+    """Events of user 1, with ``points`` of them, and of user 2, with 30."""
+    rows = spark.range(points + 30).selectExpr("id as event_id", f"if(id < {points}, 1L, 2L) as user_id", "timestamp_seconds(id) as ts", "sin(id / 50) as value", "'view' as event_type")
+    rows.write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["smooth_hann", "smooth_flat", "infer_window", "serve_shape", "prepare_ts"])
+def test_long_curves_stay(spark, tmp_path, name):
+    from tidecurve.plans import registry
+
+    d = hot(spark, tmp_path, 10_500)
+    got = {r["series_id"]: r["count"] for r in registry.queries()[name](spark, d).groupBy("series_id").count().collect()}
+    assert got == {"infer_window": {1: 9, 2: 9}, "serve_shape": {1: 1, 2: 1}, "prepare_ts": {1: 60, 2: 60}}.get(name, {1: 10_500, 2: 30})

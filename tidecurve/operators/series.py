@@ -158,14 +158,19 @@ def position(partition: str, *order: str) -> Column:
     return (F.row_number().over(Window.partitionBy(partition).orderBy(*order)) - 1).cast("bigint")
 
 
-def prepare(arrays: DataFrame, marks: DataFrame | None, window: int, step: int, max_points: int, points: int, kind: str = "hanning") -> DataFrame:
-    """The whole preparation: drop empty, trim, length filters, smooth, downsample, resample, normalise, index by id."""
+def prepare(arrays: DataFrame, marks: DataFrame | None, window: int, step: int, max_points: int | None, points: int, kind: str = "hanning") -> DataFrame:
+    """The whole preparation: drop empty, trim, length filters, smooth, downsample, resample, normalise, index by id.
+
+    ``max_points`` None: no curve is too long.
+    """
     own = arrays.where(F.size("y") > 0)
     if marks is not None:
         own = credits_trim(own, marks)
     if window >= 1:
         own = own.where(F.size("y") > window)
-    own = smooth(own.where(F.size("y") <= max_points), window, kind)
+    if max_points is not None:
+        own = own.where(F.size("y") <= max_points)
+    own = smooth(own, window, kind)
     if step > 1:
         own = settled(own, y=F.filter("y", lambda _, i: i % step == 0))
     return znorm(resample(own, points))

@@ -22,7 +22,7 @@ def arrays(spark: SparkSession, d: str) -> DataFrame:
 
 def prepared(spark: SparkSession, d: str) -> DataFrame:
     """Smoothed, resampled to ``POINTS`` and normalised curves."""
-    return S.prepare(arrays(spark, d), None, WINDOW, 1, 10_000, POINTS)
+    return S.prepare(arrays(spark, d), None, WINDOW, 1, None, POINTS)
 
 
 SIGNAL = "(select user_id as series_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value, event_type from events)"

@@ -24,7 +24,7 @@ def _rounded(sql: str) -> str:
 
 
 def _enough(spark: SparkSession, d: str, window: int = WINDOW) -> DataFrame:
-    return arrays(spark, d).where((F.size("y") > window) & (F.size("y") <= 10_000))
+    return arrays(spark, d).where(F.size("y") > window)
 
 
 @query("scan_signal", f"select series_id, i, value, event_type from {SIGNAL} q")
