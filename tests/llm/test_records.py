@@ -159,3 +159,31 @@ def test_link(spark):
     twins = {(a, b) for a in ("A1", "A2") for b in ("b1", "b2", "b3", "b8")}
     assert got == twins | {("A3", "b5"), ("A6", "b6")}
     assert link(left.limit(0), right).count() == 0 and link(left, right.limit(0)).count() == 0
+
+
+def linked(spark, songs, items):
+    a = spark.createDataFrame(songs, "track_id string, title string, artist_name string, duration double")
+    b = spark.createDataFrame(items, "item string, name string, artists string, seconds double")
+    found = linkage.link(a, b, key="track_id", title="title", artist="artist_name", length=F.col("duration"), other_key="item", other_title="name", other_artist="artists", other_length=F.col("seconds"))
+    return {(r[0], r[1]) for r in found.collect()}
+
+
+def test_halves_survive_a_typing_error():
+    rng = random.Random(4)
+    for _ in range(4000):
+        a = "".join(rng.choices("abc", k=rng.randint(1, 9)))
+        i, c = rng.randrange(len(a)), rng.choice("abc")
+        for b in (a, a[:i] + c + a[i:], a + c, a[:i] + a[i + 1 :], a[:i] + c + a[i + 1 :], a[:i] + a[i : i + 2][::-1] + a[i + 2 :]):
+            assert not b or linkage._halves(a, True) & linkage._halves(b, False)
+
+
+def test_candidates_hold_every_pair_one_error_apart(spark):
+    songs = [
+        ("s1", "Coast", "Hadrin Valbador", 200.0), ("s2", "Ursin Tripetol", "PLAIN, DRUM", 210.0), ("s3", "Fading Spark", "DJ Ralgalin Saddle", 220.0), ("s4", "Canyon, Pt. 2", "Vinkovor & the Planets", 230.0),
+        ("s5", "pATIENTcABIN…", "Vesna Helpegis", 240.0), ("s6", "Edda Faldiman", "  Train & Lighthouse ...", 250.0), ("s7", "Chapel", "Orla Quirenik", None), ("s8", "Lantern", "Orla Quirenik", 260.0),
+    ]
+    items = [
+        ("i1", "Coaast", "Hadrin Valbador", None), ("i2", "Plan Drum", "Ursin Tripetol", 210.5), ("i3", "FadingoSpark", "DJ Ralgalin Saddle", 220.2), ("i4", "Canyin, Pt. 2", None, 230.2),
+        ("i5", "Patient Cabin", "Vesna Helpegis", 240.1), ("i6", "Train & Lighthouse", "E. Faldiman", 250.5), ("i7", "Chpel", "Orla Quirenik", 300.0), ("i8", "Lanterns", "Orla Quirenik", 290.0),
+    ]
+    assert linked(spark, songs, items) == {(f"s{k}", f"i{k}") for k in range(1, 8)}
