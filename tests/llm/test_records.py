@@ -187,3 +187,12 @@ def test_candidates_hold_every_pair_one_error_apart(spark):
         ("i5", "Patient Cabin", "Vesna Helpegis", 240.1), ("i6", "Train & Lighthouse", "E. Faldiman", 250.5), ("i7", "Chpel", "Orla Quirenik", 300.0), ("i8", "Lanterns", "Orla Quirenik", 290.0),
     ]
     assert linked(spark, songs, items) == {(f"s{k}", f"i{k}") for k in range(1, 8)}
+
+
+def test_nameless_items_keep_misspelt_copies(spark):
+    songs = [
+        ("s1", "Jealous Mirror", "Orla Quirenik", 200.0), ("s2", "Jaelous Mirror", "Orla Quirenik", 200.0), ("s3", "Jealus Mirror", "Orla Quirenki", 200.0), ("s4", "Jealous Mirrow", "The Rokpaken Moons", 200.0),
+        ("s5", "Jealous Mirror (Live)", "Orla Quirenik", 200.0),
+    ]
+    items = [("i1", "jealous mirror", None, 200.1), ("i2", "Jealous Mirror", "Various Artists", 200.2), ("i3", "Jaelous Mirror", "Orla Quirenik", 199.9)]
+    assert linked(spark, songs, items) == {(f"s{k}", f"i{n}") for k, n in ((1, 1), (2, 1), (3, 1), (1, 2), (2, 2), (3, 2), (1, 3), (2, 3))}
