@@ -1,13 +1,15 @@
 """The folder that driver and executors share, and cutting a plan's lineage there.
 
-``spark.checkpoint.dir`` of the session names the folder; only where it is
-unset (tests, a laptop) is a folder of our own made.  Everything written is
-parquet under a fresh sub-folder, so a lost executor never loses a copy that
-only it held.
+``spark.checkpoint.dir`` of the session names the folder; only on a local
+master, where driver and executors are one process, may it be unset, and then
+a folder of our own is made.  Everything written is parquet under a fresh
+sub-folder of the application, so a lost executor never loses a copy that only
+it held, and ``sweep`` removes what an application has left.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Root of the shared folder, without a trailing slash."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = spark.conf.get("tidecurve.local.shared.dir", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="tidecurve-")
@@ -27,7 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/tidecurve/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidecurve/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all this application has written; call it once its results are read."""
+    drop_dir(spark, _own_dir(spark))
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

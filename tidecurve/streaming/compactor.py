@@ -1,20 +1,30 @@
 """Problem 2: a checkpointed streaming compactor for stores of tiny files.
 
 A file stream discovers every source file once and remembers it in its
-checkpoint; each micro-batch is written below ``manifest/<store>/batch=<id>``
-in overwrite mode.  A retry after a failure runs the same batch id over the
-same files, so it replaces its own output instead of adding to it.
-
-The manifest holds one short row per stored record: a 16-byte digest of what
-identifies the record, the row's key and its size.  Of the rows holding one
-record the smallest key stays.  ``write_compacted`` then writes the surviving
-rows, in the order of their digest groups, into files of about
-``target_bytes``.
+checkpoint.  Each micro-batch writes, below its own deterministic ``batch=<id>``
+and in overwrite mode, so that a retry replaces instead of adding:
+
+``seen``       the files of the batch with their bytes and rows;
+``manifest``   one short row per stored record: a 16-byte digest of what
+               identifies it, the row's key, its place in the order, its weight;
+``compacted``  the rows themselves that hold a record no earlier batch holds
+               under a smaller key, in files of about ``target_bytes``;
+``index``      record and key of those rows;
+``stale``      keys of earlier batches' rows that a smaller key now replaces.
+
+``publish`` then makes the next version of the list of live files: files that
+hold stale rows and files under half the target are merged below
+``merge=<version>``, all others stay as they are.  A version counts once its
+list is written, so readers never see half a merge.
+
+The number of files follows from the bytes of the files read and the share of
+their rows that stays; rows are dealt to files by running weight, so one file
+is not a multiple of another.
 
 Defined results: rows without a record (empty files, files that are no frames,
 records without picture) belong to no case and are not written; null parts of
-a record count as empty text; an empty store gives an empty manifest.  Extra
-columns are carried into the compacted files untouched.
+a record count as empty text; an empty store gives no files.  Extra columns are
+carried into the compacted files untouched.
 """
 
 from __future__ import annotations
@@ -24,11 +34,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
-from tidecurve.shared import fresh_dir
+from tidecurve.shared import cut, fresh_dir
 
 TARGET_BYTES = 128 << 20
 BATCH_BYTES = 8 << 30
+#: Cells per file among which the running weight is counted.
+CELLS = 8
+MANIFEST = "record binary, rec_key bigint, place string, weight bigint"
 
 
 def video_directory(path: str | Column) -> Column:
@@ -61,62 +75,165 @@ def digest(*parts: Column) -> Column:
 
 @dataclass(frozen=True)
 class Store:
-    """A source table, its row key and what makes a record of a row."""
+    """A source table: its row key, what makes a record of a row, where rows lie together, what a row weighs."""
 
     name: str
     key: str
     record: Callable[[], Column]
     holds: Callable[[], Column]
-    size: Callable[[], Column]
+    place: Callable[[], Column]
+    weight: Callable[[], Column]
 
 
 FRAMES = Store(
     "frame_files", "file_id",
     lambda: digest(video_directory("dirpath"), frame_ordinal("file_name")),
     lambda: F.coalesce(F.col("n_bytes") != 0, F.lit(True)) & frame_ordinal("file_name").isNotNull() & F.col("dirpath").isNotNull(),
-    lambda: F.coalesce("n_bytes", F.lit(0)),
+    lambda: video_directory("dirpath"),
+    lambda: F.lit(1),
 )
 EXAMPLES = Store(
     "tfrecords", "rec_id",
     lambda: digest(F.col("split"), image_name("id"), F.md5("img")),
     lambda: F.coalesce(F.octet_length("img") > 0, F.lit(False)) & F.col("id").isNotNull(),
-    lambda: F.octet_length("img").cast("bigint"),
+    lambda: F.concat_ws("/", F.coalesce("split", F.lit("")), F.lpad(F.coalesce(F.col("bc").cast("string"), F.lit("")), 20, "0")),
+    lambda: F.octet_length("img") + 64,
 )
+STORES = [FRAMES, EXAMPLES]
 
 
-def ingest(spark: SparkSession, sf_dir: str, stores: list[Store], root: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """Drain every store's file stream into the manifest below ``root`` and return it.
+class Compactor:
+    """One store's compaction below ``root``; opened again with the same root it goes on where it stopped."""
 
-    Calling it again with the same ``root`` only reads files that are new.
-    """
-    running = []
-    for store in stores:
-        source = f"{sf_dir}/{store.name}.parquet"
-        stream = (
-            spark.readStream.schema(spark.read.parquet(source).schema)
-            .option("maxBytesPerTrigger", str(batch_bytes))
-            .parquet(source + "*")
-            .where(store.holds())
-            .select(F.lit(store.name).alias("store"), store.record().alias("record"),
-                    F.col(store.key).cast("bigint").alias("rec_key"), store.size().alias("size"))
-        )
+    def __init__(self, spark: SparkSession, sf_dir: str, store: Store, root: str, target_bytes: int = TARGET_BYTES, batch_bytes: int = BATCH_BYTES):
+        self.spark, self.store, self.root, self.target, self.batch_bytes = spark, store, root, target_bytes, batch_bytes
+        self.source = f"{sf_dir}/{store.name}.parquet"
+        self.schema = spark.read.parquet(self.source).schema
 
-        def write(batch: DataFrame, batch_id: int, to: str = f"{root}/manifest/{store.name}") -> None:
-            batch.write.mode("overwrite").parquet(f"{to}/batch={batch_id:08d}")
+    def _at(self, what: str) -> str:
+        return f"{self.root}/{what}/{self.store.name}"
 
-        running.append(
-            stream.writeStream.foreachBatch(write).trigger(availableNow=True)
-            .option("checkpointLocation", f"{root}/progress/{store.name}").start()
+    def _written(self, what: str, shape: str, where: str = "true") -> DataFrame:
+        """What the batches have written; ``where`` is a condition on the column ``batch``."""
+        path = self._at(what)
+        if not _exists(self.spark, path):
+            return self.spark.createDataFrame([], f"{shape}, batch int").where(where)
+        return self.spark.read.schema(f"{shape}, batch int").parquet(path).where(where)
+
+    def start(self):
+        # the last letter in brackets makes a glob of exactly this path, which may be a file or a folder
+        stream = (
+            self.spark.readStream.schema(self.schema).option("maxBytesPerTrigger", str(self.batch_bytes)).parquet(f"{self.source[:-1]}[{self.source[-1]}]")
+            .select(F.struct("*").alias("row"), "_metadata.file_path", "_metadata.file_size")  # nested, so that no column's name can clash
         )
-    for query in running:
+        return stream.writeStream.foreachBatch(self._batch).trigger(availableNow=True).option("checkpointLocation", self._at("progress")).start()
+
+    def _batch(self, batch: DataFrame, batch_id: int) -> None:
+        store, own = self.store, f"batch={batch_id:08d}"
+        batch.groupBy(F.col("file_path").alias("path"), F.col("file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self._at('seen')}/{own}")
+        source = batch.select("row.*")
+        held = source.where(store.holds()).select(
+            store.record().alias("record"), F.col(store.key).cast("bigint").alias("rec_key"), store.place().alias("place"), store.weight().cast("bigint").alias("weight"))
+        held.write.mode("overwrite").parquet(f"{self._at('manifest')}/{own}")
+
+        manifest = self.spark.read.schema(MANIFEST).parquet(f"{self._at('manifest')}/{own}")
+        first = manifest.groupBy("record").agg(F.min(F.struct("rec_key", "place", "weight")).alias("f")).select("record", "f.*")
+        before = self._written("index", "record binary, rec_key bigint", f"batch < {batch_id}").groupBy("record").agg(F.min("rec_key").alias("held"))
+        met = first.join(before, "record", "left") if batch_id else first.withColumn("held", F.lit(None).cast("bigint"))
+        kept = cut(met.where("held is null or rec_key < held"), "p2-kept")
+        kept.select("record", "rec_key").write.mode("overwrite").parquet(f"{self._at('index')}/{own}")
+        kept.where("held is not null").select(F.col("held").alias("rec_key")).write.mode("overwrite").parquet(f"{self._at('stale')}/{own}")
+
+        seen = self.spark.read.parquet(f"{self._at('seen')}/{own}").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()[0]
+        rows = kept.count()
+        if rows:
+            self._write(source, kept, seen["bytes"] * rows / max(1, seen["rows"]), f"{self._at('compacted')}/{own}")
+
+    def _write(self, rows: DataFrame, kept: DataFrame, expected: float, to: str) -> None:
+        """The rows whose keys are in ``kept(rec_key, place, weight)``, in as many files as ``expected`` bytes fill."""
+        files = max(1, math.ceil(expected / self.target))
+        dealt = self._dealt(kept.select("rec_key", "place", "weight"), files)
+        nested = rows.select(F.col(self.store.key).cast("bigint").alias("rec_key"), F.struct("*").alias("row"))
+        placed = nested.join(dealt, "rec_key").repartitionById(files, "file")
+        placed.sortWithinPartitions("place", "rec_key").select("row.*").write.mode("overwrite").parquet(to)
+
+    def _dealt(self, kept: DataFrame, files: int) -> DataFrame:
+        """Add ``file``: consecutive rows of the order, equal in weight to within a cell."""
+        if files == 1:
+            return kept.withColumn("file", F.lit(0))
+        celled = cut(kept.repartitionByRange(CELLS * files, "place", "rec_key").withColumn("_cell", F.spark_partition_id()), "p2-cells")
+        sums = celled.groupBy("_cell").agg(F.sum("weight").alias("_w"))  # CELLS rows for each file
+        order = Window.partitionBy(F.lit(0)).orderBy("_cell")
+        middle = F.sum("_w").over(order) - F.col("_w") / 2
+        total = F.sum("_w").over(Window.partitionBy(F.lit(0)))
+        of_cell = sums.select("_cell", F.least(F.floor(middle * files / total), F.lit(files - 1)).cast("int").alias("file"))
+        return celled.join(F.broadcast(of_cell), "_cell").drop("_cell")
+
+    # --- versions ---------------------------------------------------------------------------------------------------
+    def version(self) -> int:
+        """Number of the last published version; 0 where there is none."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._at('live')}/*/_SUCCESS")
+        found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+        return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found), default=0)
+
+    def live(self) -> DataFrame:
+        """``(path, bytes, records, through)`` of the live files of the last version."""
+        shape, version = "path string, bytes bigint, records bigint, through int", self.version()
+        return self.spark.read.schema(shape).parquet(f"{self._at('live')}/version={version:08d}") if version else self.spark.createDataFrame([], shape)
+
+    def _files(self, path: str) -> list[tuple[str, int, int]]:
+        own = self.spark.read.schema(self.schema).parquet(path)
+        listed = own.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count(F.lit(1)).alias("n")).collect()  # few by construction
+        return [(r["file_path"], r["file_size"], r["n"]) for r in listed]
+
+    def publish(self) -> None:
+        live = [(r["path"], r["bytes"], r["records"], r["through"]) for r in self.live().collect()]  # one short row per target_bytes of data
+        through = max((f[3] for f in live), default=-1)
+        done = [r["batch"] for r in self._written("seen", "path string", f"batch > {through}").select("batch").distinct().collect()]
+        if not done:
+            return
+        files = [f[:3] for f in live]
+        for b in sorted(done):
+            path = f"{self._at('compacted')}/batch={b:08d}"
+            files += self._files(path) if _exists(self.spark, path) else []
+        stale = self._written("stale", "rec_key bigint", f"batch > {through}").select("rec_key").distinct()
+        touched = set()
+        if through >= 0 or len(done) > 1:
+            keyed = self._rows([f[0] for f in files]).select(F.col(self.store.key).alias("rec_key"), "_metadata.file_path") if files else None
+            touched = {r[0] for r in keyed.join(stale, "rec_key", "left_semi").select("file_path").distinct().collect()} if files else set()
+        small = [f for f in files if f[1] < self.target / 2 and f[0] not in touched]
+        merged = [f for f in files if f[0] in touched] + (small if len(small) > 1 or touched else [])
+        version = self.version() + 1
+        if merged:
+            rows = self._rows([f[0] for f in merged])
+            keys = rows.select(F.col(self.store.key).cast("bigint").alias("rec_key"), self.store.place().alias("place"), self.store.weight().cast("bigint").alias("weight"))
+            to = f"{self._at('compacted')}/merge={version:08d}"
+            self._write(rows, keys.join(stale, "rec_key", "left_anti"), sum(f[1] for f in merged), to)
+            gone = {f[0] for f in merged}
+            files = [f for f in files if f[0] not in gone] + self._files(to)
+        rows = [(*f, max(done)) for f in files]
+        self.spark.createDataFrame(rows, "path string, bytes bigint, records bigint, through int").coalesce(1).write.mode("overwrite").parquet(f"{self._at('live')}/version={version:08d}")
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def rows(self) -> DataFrame:
+        """The compacted store: every record once."""
+        paths = [r["path"] for r in self.live().collect()]
+        return self._rows(paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def manifest(self) -> DataFrame:
+        return self._written("manifest", MANIFEST)
+
+
+def compact(spark: SparkSession, sf_dir: str, stores: list[Store], root: str, target_bytes: int = TARGET_BYTES, batch_bytes: int = BATCH_BYTES) -> list[Compactor]:
+    """Drain every store's file stream and publish; again with the same ``root`` it reads new files only."""
+    own = [Compactor(spark, sf_dir, s, root, target_bytes, batch_bytes) for s in stores]
+    for query in [c.start() for c in own]:
         query.awaitTermination()
-    shape = "store string, record binary, rec_key bigint, size bigint"
-    manifest = spark.createDataFrame([], shape)
-    for store in stores:
-        path = f"{root}/manifest/{store.name}"
-        if _exists(spark, path):
-            manifest = manifest.unionByName(spark.read.schema(shape).parquet(path).select("store", "record", "rec_key", "size"))
-    return manifest
+    for c in own:
+        c.publish()
+    return own
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -124,55 +241,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def surplus(manifest: DataFrame) -> DataFrame:
-    """``(store, rec_key)`` of the rows to drop: all but the smallest key of each record.
-
-    The per-record minimum combines before its shuffle, so a record holding a
-    third of all rows is one row per task there; joining back is left to the
-    adaptive skew join.
-    """
-    repeated = manifest.groupBy("store", "record").agg(F.min("rec_key").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return manifest.join(repeated.drop("n"), ["store", "record"]).where("rec_key != kept").select("store", "rec_key")
-
-
-def survivors(manifest: DataFrame) -> DataFrame:
-    """``(store, rec_key, size)`` with one row per record."""
-    first = F.min(F.struct("rec_key", "size")).alias("first")
-    return manifest.groupBy("store", "record").agg(first).select("store", "first.rec_key", "first.size")
-
-
-def write_compacted(
-    spark: SparkSession, sf_dir: str, store: Store, kept: DataFrame, root: str, order: list[Column], target_bytes: int = TARGET_BYTES
-) -> DataFrame:
-    """Write the surviving rows of ``store``, whole, in few files; one report row.
-
-    ``order`` clusters rows that are read together.  The number of files
-    follows from the records' sizes; one range partition makes one file.
-    """
-    keys = kept.where(F.col("store") == store.name).select(F.col("rec_key").alias(store.key), "size")
-    total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).collect()[0]
-    files = max(1, math.ceil(total["b"] / target_bytes))
-    to = f"{root}/compacted/{store.name}"
-    rows = spark.read.parquet(f"{sf_dir}/{store.name}.parquet")
-    rows.join(keys.drop("size"), store.key, "left_semi").repartitionByRange(files, *order, store.key).write.mode("overwrite").parquet(to)
-    return (
-        spark.read.parquet(to).select("_metadata.file_path")
-        .agg(F.count(F.lit(1)).alias("records"), F.countDistinct("file_path").alias("files"))
-        .select(F.lit(store.name).alias("store"), F.lit(total["n"]).cast("bigint").alias("records_expected"), "records", "files")
-    )
+def dropped(compactors: list[Compactor]) -> DataFrame:
+    """``(store, rec_key)`` of the rows that hold a record and are not in the compacted store."""
+    out = None
+    for c in compactors:
+        kept = c.rows().select(F.col(c.store.key).cast("bigint").alias("rec_key"))
+        own = c.manifest().select(F.lit(c.store.name).alias("store"), "rec_key").join(kept, "rec_key", "left_anti").select("store", "rec_key")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = fresh_dir(spark, "p2")
-    return surplus(ingest(spark, sf_dir, [FRAMES, EXAMPLES], root))
+    return dropped(compact(spark, sf_dir, STORES, fresh_dir(spark, "p2")))
 
 
 def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both stores compacted; each row reports one store."""
-    root = fresh_dir(spark, "p2")
-    kept = survivors(ingest(spark, sf_dir, [FRAMES, EXAMPLES], root))
-    listing = write_compacted(spark, sf_dir, FRAMES, kept, root, [video_directory("dirpath")])
-    return listing.unionByName(write_compacted(spark, sf_dir, EXAMPLES, kept, root, [F.col("split"), F.col("bc")]))
+    """Both stores compacted; each row reports one store, as read back from its live files."""
+    out = None
+    for c in compact(spark, sf_dir, STORES, fresh_dir(spark, "p2")):
+        held = c.manifest().agg(F.count(F.lit(1)).alias("rows_with_record"))
+        own = c.rows().where(c.store.holds()).select(F.col("_metadata.file_path").alias("path"), c.store.record().alias("record")).agg(
+            F.countDistinct("record").alias("records"), F.count(F.lit(1)).alias("rows"), F.countDistinct("path").alias("files"))
+        own = held.join(own, F.lit(True)).select(F.lit(c.store.name).alias("store"), "rows_with_record", "records", "rows", "files")  # one row each
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def frames_per_video(spark: SparkSession, sf_dir: str) -> DataFrame:
