@@ -4,48 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Abbreviations and sentence openers of the sentence splitter.
-PREFIXES = "(Mr|St|Mrs|Ms|Dr)"
-SUFFIXES = "(Inc|Ltd|Jr|Sr|Co)"
-STARTERS = r"(Mr|Mrs|Ms|Dr|He\s|She\s|It\s|They\s|Their\s|Our\s|We\s|But\s|However\s|That\s|This\s|Wherever)"
-SITES = "(com|net|org|io|gov)"
-
-#: Fixed values: (pattern, replacement) in order; a protected full stop is written \x01, a sentence end \x02.
-RULES: list[tuple[str, str]] = [
-    (r"\n", " "),
-    (PREFIXES + r"[.]", r"\1" + "\x01"),
-    (r"[.]" + SITES, "\x01" + r"\1"),
-    (r"Ph\.D\.", "Ph\x01D\x01"),
-    (r"\s([A-Z])[.] ", r" \1" + "\x01 "),
-    (r"([A-Z][.][A-Z][.](?:[A-Z][.])?) " + STARTERS, r"\1" + "\x02 " + r"\2"),
-    (r"([A-Z])[.]([A-Z])[.]([A-Z])[.]", r"\1" + "\x01" + r"\2" + "\x01" + r"\3" + "\x01"),
-    (r"([A-Z])[.]([A-Z])[.]", r"\1" + "\x01" + r"\2" + "\x01"),
-    (" " + SUFFIXES + r"[.] " + STARTERS, r" \1" + "\x02 " + r"\2"),
-    (" " + SUFFIXES + r"[.]", r" \1" + "\x01"),
-    (r" ([A-Z])[.]", r" \1" + "\x01"),
-    (r'\."', '".'),
-    (r'!"', '"!'),
-    (r'\?"', '"?'),
-    (r"([.?!])", r"\1" + "\x02"),
-    ("\x01", "."),
+#: Abbreviations, sites and sentence openers of the sentence splitter.
+PREFIXES = ("Mr", "St", "Mrs", "Ms", "Dr")
+SUFFIXES = ("Inc", "Ltd", "Jr", "Sr", "Co")
+STARTERS = ("Mr", "Mrs", "Ms", "Dr", r"He\s", r"She\s", r"It\s", r"They\s", r"Their\s", r"Our\s", r"We\s", r"But\s", r"However\s", r"That\s", r"This\s", "Wherever")
+SITES = ("com", "net", "org", "io", "gov")
+
+_any = "|".join
+_OPENS = f" (?:{_any(STARTERS)})"
+#: What stands before and after a full stop that ends no sentence: (pattern before, pattern after, after negated).
+HELD = [
+    (f"(?:{_any(PREFIXES)})", "", False),  # a title
+    ("", f"(?:{_any(SITES)})", False),  # a site's name
+    ("Ph", r"D\.", False), (r"Ph\.D", "", False),  # a degree
+    (" [A-Z]", "", False), (r"\s[A-Z]", " ", False),  # an initial
+    ("[A-Z]", r"[A-Z]\.", False), (r"[A-Z]\.[A-Z]", _OPENS, True),  # capitals with stops, unless a sentence opens behind them
+    (f" (?:{_any(SUFFIXES)})", _OPENS, True),  # a company or a junior, likewise
 ]
+#: Marks put into the text while it is cut: a held full stop, the end of a sentence.
+_HOLD, _END = "\x01", "\x02"
 
 
 def sentences(text: Column) -> Column:
-    """Array of sentences; text after the last terminator is dropped."""
-    out = F.concat(F.lit(" "), text, F.lit("  "))
-    for pattern, to in RULES:
-        out = F.regexp_replace(out, pattern, to.replace("\\", "$"))
-    parts = F.split(out, "\x02")
-    return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.trim(s))
+    """Array of sentences; text after the last terminator is dropped.
+
+    Every full stop is looked at once, with what stands around it: it is held
+    (``HELD``), it belongs to a company's name before a new sentence and goes,
+    or it ends its sentence, as ``?`` and ``!`` always do.  A quote behind
+    terminators is drawn before them.  Each full stop is judged by the text as
+    it stands, whatever was decided for its neighbours.
+    """
+    behind = lambda p: f"(?<={p})" if p else ""
+    held = _any(rf"{behind(before)}\.{f'(?{chr(33) if negated else chr(61)}{after})' if after else ''}" for before, after, negated in HELD)
+    own = F.concat(F.lit(" "), F.translate(text, "\n", " "), F.lit("  "))
+    own = F.regexp_replace(own, held, _HOLD)
+    own = F.regexp_replace(own, rf"(?<= (?:{_any(SUFFIXES)}))\.(?={_OPENS})", _END)
+    own = F.regexp_replace(own, r'(\?!?\.?|!\.?|\.)"', '"$1')
+    parts = F.split(F.regexp_replace(own, r"[.?!]", f"$0{_END}"), _END)
+    return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.trim(F.translate(s, _HOLD, ".")))
 
 
 def sentences_sql(column: str) -> str:
-    out = f"(' ' || {column} || '  ')"
-    for pattern, to in RULES:
-        quoted = [x.replace("'", "''").replace("\n", "\\n") for x in (pattern, to)]
-        out = f"regexp_replace({out}, '{quoted[0]}', '{quoted[1]}', 'g')"
-    return f"list_transform(string_split({out}, '\x02')[:-2], lambda s: trim(s))"
+    """The same in SQL, character by character: ``l`` is the list of characters, ``i`` a full stop's place in it."""
+    before, after = "array_to_string(l[greatest(i - 6, 1):i - 1], '')", "array_to_string(l[i + 1:i + 12], '')"
+    tests = [
+        " and ".join([*([f"regexp_matches({before}, '{b}$')"] if b else []), *([f"{'not ' if negated else ''}regexp_matches({after}, '^{a}')"] if a else [])])
+        for b, a, negated in HELD
+    ]
+    goes = f"regexp_matches({before}, ' (?:{_any(SUFFIXES)})$') and regexp_matches({after}, '^{_OPENS}')"
+    marked = f"array_to_string(list_transform(range(1, len(l) + 1), lambda i: case when l[i] <> '.' then l[i] when {' or '.join(f'({t})' for t in tests)} then chr(1) when {goes} then chr(2) else l[i] end), '')"
+    quoted = rf"""regexp_replace({marked}, '(\?!?\.?|!\.?|\.)"', '"\1', 'g')"""
+    listed = rf"(select list_transform(string_split(regexp_replace({quoted}, '([.?!])', '\1' || chr(2), 'g'), chr(2))[:-2], lambda s: trim(replace(s, chr(1), '.'))) from (select string_split(' ' || replace({column}, chr(10), ' ') || '  ', '') as l) q)"
+    return listed
 
 
 def hms(seconds: Column) -> Column:

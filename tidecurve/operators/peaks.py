@@ -60,37 +60,28 @@ def distant_peaks(found: DataFrame, distance: int, keep_same: bool = False, vall
 
 
 def merge_extrema(points: list[tuple[float, str, str]], clip: float, min_dist: float = 0, step: int = 1) -> list[tuple[float, list[str]]]:
-    """Join extrema of several curves to highlights.
+    """Join extrema ``(position, modality, kind)`` of several curves to highlights ``(position, tags)``.
 
-    ``points`` are (position, modality, kind).  A point further than ``clip +
-    min_dist`` from the last one closes the open highlight, which stands at the
-    mean of its members.  Nearer, with ``min_dist`` the point is left out;
-    otherwise two modalities make a pair, and one modality twice or a third
-    member drop the open highlight and step back to the last closed one.
+    A highlight opens at the first point beyond ``clip + min_dist`` of the last
+    highlight and takes in what follows within that reach of its last member.
+    Two modalities make a pair that stands at its mean; one modality twice, or
+    a third member, spoil it, and nothing remains of its members.  With
+    ``min_dist`` nothing is taken in: every highlight is one point.
     """
-    closed: list[tuple[float, list[str]]] = []
-    members: list[tuple[float, str]] = []
-    last_at, last_modality = float("-inf"), None
-
-    def close() -> None:
-        if members:
-            closed.append((sum(p for p, _ in members) / len(members), [t for _, t in members]))
-
-    for at, modality, kind in sorted(points):
-        tag = f"{modality}-{kind}"
-        if at - last_at > clip + min_dist:
-            close()
-            members, last_at, last_modality = [(at, tag)], at, modality
-        elif min_dist > 0:
+    order, reach = sorted(points), clip + min_dist
+    found: list[tuple[float, list[str]]] = []
+    last, at = float("-inf"), 0
+    while at < len(order):
+        taken, at = [order[at]], at + 1
+        if taken[0][0] - last <= reach:
             continue
-        elif modality != last_modality and len(members) == 1:
-            members.append((at, tag))
-            last_at, last_modality = at, modality
-        else:
-            members = []
-            last_at = closed[-1][0] if closed else float("-inf")
-    close()
-    return closed[::step]
+        while not min_dist and taken and at < len(order) and order[at][0] - taken[-1][0] <= reach:
+            pairs_up = len(taken) == 1 and order[at][1] != taken[0][1]
+            taken, at = [*taken, order[at]] if pairs_up else [], at + 1
+        if taken:
+            last = sum(p for p, _, _ in taken) / len(taken)
+            found.append((last, [f"{modality}-{kind}" for _, modality, kind in taken]))
+    return found[::step]
 
 
 def merged(extrema: DataFrame, clip: float, min_dist: float = 0, step: int = 1) -> DataFrame:

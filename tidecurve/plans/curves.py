@@ -57,7 +57,7 @@ def znorm_sql(source: str) -> str:
     return f"(select series_id, i, (value - avg(value) {w}) / nullif(stddev_pop(value) {w}, 0) as value from {source} q)"
 
 
-LONG_ENOUGH = f"(select * exclude n from (select *, count(*) over (partition by series_id) as n from {SIGNAL} q) where n > {WINDOW} and n <= 10000)"
+LONG_ENOUGH = f"(select * exclude n from (select *, count(*) over (partition by series_id) as n from {SIGNAL} q) where n > {WINDOW})"
 PREPARED = znorm_sql(resample_sql(smooth_sql(LONG_ENOUGH, WINDOW, "hanning"), POINTS))
 _ENV = f"over (partition by series_id order by i rows between {RADIUS} preceding and {RADIUS - 1} following)"
 

@@ -14,14 +14,8 @@ from tidecurve.plans.curves import arrays
 from tidecurve.sources.tables import table
 
 
-@query("sentence_split", f"select doc_id, list_reduce(list_prepend(0, list_transform(s, lambda x: length(x))), lambda a, b: a + b)::bigint as chars, len(s)::int as n, s[1] as first_sentence, s[-1] as last_sentence from (select doc_id, {X.sentences_sql('text')} as s from documents where text is not null and regexp_full_match(text, '[\\x00-\\x7F]*')) where len(s) > 0")
+@query("sentence_split", f"select doc_id, list_reduce(list_prepend(0, list_transform(s, lambda x: length(x))), lambda a, b: a + b)::bigint as chars, len(s)::int as n, s[1] as first_sentence, s[-1] as last_sentence from (select doc_id, {X.sentences_sql('text')} as s from documents where text is not null) where len(s) > 0")
 def sentence_split(spark, d):
-    """The part of ``sentence_split_all`` its SQL is limited to: texts of pure ASCII."""
-    return _sentences(table(spark, d, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")))
-
-
-@query("sentence_split_all", f"select doc_id, list_reduce(list_prepend(0, list_transform(s, lambda x: length(x))), lambda a, b: a + b)::bigint as chars, len(s)::int as n, s[1] as first_sentence, s[-1] as last_sentence from (select doc_id, {X.sentences_sql('text')} as s from documents where text is not null) where len(s) > 0")
-def sentence_split_all(spark, d):
     """Sentences of every text, whatever its script."""
     return _sentences(table(spark, d, "documents"))
 

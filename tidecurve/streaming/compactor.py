@@ -6,7 +6,7 @@ and in overwrite mode, so that a retry replaces instead of adding:
 
 ``seen``       the files of the batch with their bytes and rows;
 ``manifest``   one short row per stored record: a 16-byte digest of what
-               identifies it, the row's key, its place in the order, its weight;
+               identifies it, the row's key, its place in the order;
 ``compacted``  the rows themselves that hold a record no earlier batch holds
                under a smaller key, in files of about ``target_bytes``;
 ``index``      record and key of those rows;
@@ -18,8 +18,8 @@ hold stale rows and files under half the target are merged below
 list is written, so readers never see half a merge.
 
 The number of files follows from the bytes of the files read and the share of
-their rows that stays; rows are dealt to files by running weight, so one file
-is not a multiple of another.
+their rows that stays.  Rows go to files by a hash of their key, in the one
+shuffle that also drops the others, and lie in order within each file.
 
 Defined results: rows without a record (empty files, files that are no frames,
 records without picture) belong to no case and are not written; null parts of
@@ -34,15 +34,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window
 
 from tidecurve.shared import cut, fresh_dir
 
 TARGET_BYTES = 128 << 20
 BATCH_BYTES = 8 << 30
-#: Cells per file among which the running weight is counted.
-CELLS = 8
-MANIFEST = "record binary, rec_key bigint, place string, weight bigint"
+MANIFEST = "record binary, rec_key bigint, place string"
 
 
 def video_directory(path: str | Column) -> Column:
@@ -75,14 +72,13 @@ def digest(*parts: Column) -> Column:
 
 @dataclass(frozen=True)
 class Store:
-    """A source table: its row key, what makes a record of a row, where rows lie together, what a row weighs."""
+    """A source table: its row key, what makes a record of a row, where rows lie together."""
 
     name: str
     key: str
     record: Callable[[], Column]
     holds: Callable[[], Column]
     place: Callable[[], Column]
-    weight: Callable[[], Column]
 
 
 FRAMES = Store(
@@ -90,14 +86,12 @@ FRAMES = Store(
     lambda: digest(video_directory("dirpath"), frame_ordinal("file_name")),
     lambda: F.coalesce(F.col("n_bytes") != 0, F.lit(True)) & frame_ordinal("file_name").isNotNull() & F.col("dirpath").isNotNull(),
     lambda: video_directory("dirpath"),
-    lambda: F.lit(1),
 )
 EXAMPLES = Store(
     "tfrecords", "rec_id",
     lambda: digest(F.col("split"), image_name("id"), F.md5("img")),
     lambda: F.coalesce(F.octet_length("img") > 0, F.lit(False)) & F.col("id").isNotNull(),
     lambda: F.concat_ws("/", F.coalesce("split", F.lit("")), F.lpad(F.coalesce(F.col("bc").cast("string"), F.lit("")), 20, "0")),
-    lambda: F.octet_length("img") + 64,
 )
 STORES = [FRAMES, EXAMPLES]
 
@@ -133,11 +127,11 @@ class Compactor:
         batch.groupBy(F.col("file_path").alias("path"), F.col("file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self._at('seen')}/{own}")
         source = batch.select("row.*")
         held = source.where(store.holds()).select(
-            store.record().alias("record"), F.col(store.key).cast("bigint").alias("rec_key"), store.place().alias("place"), store.weight().cast("bigint").alias("weight"))
+            store.record().alias("record"), F.col(store.key).cast("bigint").alias("rec_key"), store.place().alias("place"))
         held.write.mode("overwrite").parquet(f"{self._at('manifest')}/{own}")
 
         manifest = self.spark.read.schema(MANIFEST).parquet(f"{self._at('manifest')}/{own}")
-        first = manifest.groupBy("record").agg(F.min(F.struct("rec_key", "place", "weight")).alias("f")).select("record", "f.*")
+        first = manifest.groupBy("record").agg(F.min(F.struct("rec_key", "place")).alias("f")).select("record", "f.*")
         before = self._written("index", "record binary, rec_key bigint", f"batch < {batch_id}").groupBy("record").agg(F.min("rec_key").alias("held"))
         met = first.join(before, "record", "left") if batch_id else first.withColumn("held", F.lit(None).cast("bigint"))
         kept = cut(met.where("held is null or rec_key < held"), "p2-kept")
@@ -150,25 +144,12 @@ class Compactor:
             self._write(source, kept, seen["bytes"] * rows / max(1, seen["rows"]), f"{self._at('compacted')}/{own}")
 
     def _write(self, rows: DataFrame, kept: DataFrame, expected: float, to: str) -> None:
-        """The rows whose keys are in ``kept(rec_key, place, weight)``, in as many files as ``expected`` bytes fill."""
+        """The rows whose keys are in ``kept(rec_key, place)``, in as many files as ``expected`` bytes fill."""
         files = max(1, math.ceil(expected / self.target))
-        dealt = self._dealt(kept.select("rec_key", "place", "weight"), files)
         nested = rows.select(F.col(self.store.key).cast("bigint").alias("rec_key"), F.struct("*").alias("row"))
-        placed = nested.join(dealt, "rec_key").repartitionById(files, "file")
+        placed = nested.repartition(files, "rec_key").join(kept.select("rec_key", "place").repartition(files, "rec_key"), "rec_key")
         placed.sortWithinPartitions("place", "rec_key").select("row.*").write.mode("overwrite").parquet(to)
 
-    def _dealt(self, kept: DataFrame, files: int) -> DataFrame:
-        """Add ``file``: consecutive rows of the order, equal in weight to within a cell."""
-        if files == 1:
-            return kept.withColumn("file", F.lit(0))
-        celled = cut(kept.repartitionByRange(CELLS * files, "place", "rec_key").withColumn("_cell", F.spark_partition_id()), "p2-cells")
-        sums = celled.groupBy("_cell").agg(F.sum("weight").alias("_w"))  # CELLS rows for each file
-        order = Window.partitionBy(F.lit(0)).orderBy("_cell")
-        middle = F.sum("_w").over(order) - F.col("_w") / 2
-        total = F.sum("_w").over(Window.partitionBy(F.lit(0)))
-        of_cell = sums.select("_cell", F.least(F.floor(middle * files / total), F.lit(files - 1)).cast("int").alias("file"))
-        return celled.join(F.broadcast(of_cell), "_cell").drop("_cell")
-
     # --- versions ---------------------------------------------------------------------------------------------------
     def version(self) -> int:
         """Number of the last published version; 0 where there is none."""
@@ -206,7 +187,7 @@ class Compactor:
         version = self.version() + 1
         if merged:
             rows = self._rows([f[0] for f in merged])
-            keys = rows.select(F.col(self.store.key).cast("bigint").alias("rec_key"), self.store.place().alias("place"), self.store.weight().cast("bigint").alias("weight"))
+            keys = rows.select(F.col(self.store.key).cast("bigint").alias("rec_key"), self.store.place().alias("place"))
             to = f"{self._at('compacted')}/merge={version:08d}"
             self._write(rows, keys.join(stale, "rec_key", "left_anti"), sum(f[1] for f in merged), to)
             gone = {f[0] for f in merged}
