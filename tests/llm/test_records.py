@@ -90,7 +90,10 @@ def edits(a):
     spot = a.copy()
     spot[3:6, 4:7] = 255
     noise = np.random.default_rng(0).normal(0, 3, a.shape)
-    return [a, a[:, ::-1], framed, spot, np.clip(a * 0.7 + 12, 0, 255).astype(np.uint8), np.clip(a + noise, 0, 255).astype(np.uint8), a.repeat(2, 0).repeat(2, 1)]
+    wide = np.full((a.shape[0] + 14, a.shape[1] + 20, 3), 240, np.uint8)  # more margin than picture
+    wide[5 : 5 + a.shape[0], 12 : 12 + a.shape[1]] = a
+    turns = [np.rot90(x, k) for x in (a, a[:, ::-1]) for k in range(4)][1:]
+    return [a, *turns, wide, np.clip(120 + a * 0.02, 0, 255).astype(np.uint8), framed, spot, np.clip(a * 0.7 + 12, 0, 255).astype(np.uint8), np.clip(a + noise, 0, 255).astype(np.uint8), a.repeat(2, 0).repeat(2, 1)]
 
 
 def test_overlaps_equal_the_cases(spark):
@@ -99,7 +102,7 @@ def test_overlaps_equal_the_cases(spark):
         base = picture(k)
         rows.append((k, base.tobytes(), *base.shape[:2], "train"))
         for n, e in enumerate(edits(base)):
-            key = 1000 + k * 10 + n
+            key = 10_000 + k * 100 + n
             rows.append((key, np.ascontiguousarray(e).tobytes(), *e.shape[:2], "test" if n % 2 else "valid"))
             truth.add((key, k))
     rows += [(5000, picture(0).tobytes(), 18, 16, "train"), (5001, None, 18, 16, "test"), (5002, b"", 18, 16, "test"), (5003, bytes(18 * 16 * 3), 18, 16, "test"), (5004, bytes(18 * 16 * 3), 18, 16, "train"), (5005, b"abc", 18, 16, "train"), (5006, picture(0).tobytes(), 18, 16, None), (5007, picture(0).tobytes(), None, 16, "test")]
@@ -126,13 +129,23 @@ def test_recall_against_brute_force(spark, sf):
     for k in held:
         best = np.full(len(train), -1.0)
         for x, y in ((0, 0), (0, 1), (1, 0)):
-            for flip in (1, -1):
-                best = np.maximum(best, H.likeness(np.broadcast_to(forms[k][x][:, ::flip], theirs[:, y].shape), theirs[:, y]))
+            for turn in range(H.TURNS):
+                own = H.turned(forms[k][None, x], turn)
+                best = np.maximum(best, H.likeness(np.broadcast_to(own, theirs[:, y].shape), theirs[:, y]))
         truth |= {(min(k, t), max(k, t)) for t, b in zip(train, best) if b >= O.SAME}
     got = {tuple(r) for r in queries.p1_found(spark, f"{sf}/../sf0.01").collect()}
     assert got <= truth and len(got) >= 0.9 * len(truth)
 
 
+def test_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(O, "HOT", 3)
+    base = picture(1)
+    rows = [(k, bytearray(np.clip(base.astype(int) + (k % 7), 0, 255).astype(np.uint8).tobytes()), *base.shape[:2], "train" if k % 2 else "test") for k in range(30)]
+    df = spark.createDataFrame(rows, "rec_id bigint, img binary, h bigint, w bigint, split string")
+    pairs, members = O.overlaps(df, "rec_id", "img", "h", "w", F.col("split") == "train", F.col("split").isin("valid", "test"))
+    assert O.overlap_rows(pairs, members).count() == 15 * 15
+
+
 # --- linkage -------------------------------------------------------------------------------------------------------
 def test_readings():
     a = R.read("The Door (Live at Kelmarra)", "Arlo Rokfoban")

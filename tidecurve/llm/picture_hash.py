@@ -6,10 +6,11 @@ out).  Besides the whole picture (``BASE``) one with one pixel taken off every
 side (``INNER``) is kept, which meets a partner whose border was painted over
 or cut away.
 
-Hashes are signs of fixed random projections of one part of the canonical
-form: each half (a spot leaves at least one half alone) and the whole.  The
-projections weakest in magnitude are the ones an edit may turn over, so a
-query also asks for the buckets with those signs turned.
+Direction drops out in the hashes.  A picture is turned until each of its four
+halves in turn lies on the left, and each left half gives one code, the signs
+of fixed random projections; so one set of projections serves all halves, and a
+spot leaves at least two of them alone.  A query asks with all eight
+orientations, and also for the buckets with its weakest signs turned over.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ import numpy as np
 SIDE, FINE = 8, 12
 BITS, FLIPS = 32, 3
 SIGNATURE_BITS = 64
-FLAT_RANGE, MARGIN_RANGE, MARGIN_MOST = 6, 12, 0.25
-#: Parts of the 8 x 8 form that are hashed: rows and columns.
-PARTS = [(slice(0, 8), slice(0, 4)), (slice(0, 8), slice(4, 8)), (slice(0, 4), slice(0, 8)), (slice(4, 8), slice(0, 8)), (slice(0, 8), slice(0, 8))]
+#: Steps of 256 by which the pixels of a margin may differ.
+MARGIN_RANGE = 12
+#: Orientations: 0-3 quarter turns, 4-7 the same after mirroring.
+TURNS = 8
 LUMA = np.array([0.299, 0.587, 0.114], np.float32)
 
 
@@ -37,10 +39,9 @@ def _area(n: int, side: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def _planes(part: int) -> np.ndarray:
-    rows, cols = PARTS[part]
-    n = (rows.stop - rows.start) * (cols.stop - cols.start)
-    rng = np.random.default_rng(1000 + part)
+def _planes() -> np.ndarray:
+    n = SIDE * SIDE // 2
+    rng = np.random.default_rng(1000)
     blocks = [np.linalg.qr(rng.standard_normal((n, n)))[0] for _ in range(-(-BITS // n))]
     return np.concatenate(blocks, 1)[:, :BITS].astype(np.float32)
 
@@ -60,23 +61,37 @@ def resize(pictures: np.ndarray, side: int) -> np.ndarray:
     return np.einsum("ih,nhw,jw->nij", _area(h, side), pictures, _area(w, side), optimize=True)
 
 
+def turned(forms: np.ndarray, turn: int) -> np.ndarray:
+    """(n, side, side) forms in one of the eight orientations."""
+    own = forms[:, :, ::-1] if turn >= 4 else forms
+    return np.rot90(own, turn % 4, axes=(1, 2))
+
+
 def trims(pixels: np.ndarray) -> np.ndarray:
-    """(n, 4) lines of one colour at the top, bottom, left and right of (n, h, w, 3) pixels."""
+    """(n, 4) lines of the margin's colour at the top, bottom, left and right of (n, h, w, 3) pixels.
+
+    A margin's lines are each of one colour, and that of the outermost one.
+    Where nothing but margin would be found, nothing is trimmed.
+    """
     out = []
-    for axis, n in ((2, pixels.shape[1]), (1, pixels.shape[2])):
-        spread = (pixels.max(axis).astype(np.int16) - pixels.min(axis)).max(-1)
-        flat = spread <= MARGIN_RANGE
-        most = int(n * MARGIN_MOST)
-        for lines in (flat, flat[:, ::-1]):
-            out.append(np.cumprod(lines[:, :most], axis=1).sum(1) if most else np.zeros(len(pixels), int))
-    return np.stack(out, 1)
+    for axis in (2, 1):
+        high, low = pixels.max(axis).astype(np.int16), pixels.min(axis).astype(np.int16)  # (n, lines, 3)
+        flat = (high - low).max(-1) <= MARGIN_RANGE
+        for end in (slice(None), slice(None, None, -1)):
+            h, l = high[:, end], low[:, end]
+            one = (np.maximum.accumulate(h, 1) - np.minimum.accumulate(l, 1)).max(-1) <= 2 * MARGIN_RANGE
+            out.append(np.cumprod(flat[:, end] & one, axis=1).sum(1))
+    counts = np.stack(out, 1)
+    for k, n in ((0, pixels.shape[1]), (2, pixels.shape[2])):
+        counts[counts[:, k] + counts[:, k + 1] > n - 2] = 0
+    return counts
 
 
 def canonical(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(kept, forms)``: which of (n, h, w, 3) are pictures at all, and their (kept, 2, 12, 12) forms."""
     n, h, w, _ = pixels.shape
     flat = pixels.reshape(n, -1, 3)
-    kept = np.flatnonzero((flat.max(1).astype(np.int16) - flat.min(1)).max(-1) > FLAT_RANGE)
+    kept = np.flatnonzero((flat.max(1) != flat.min(1)).any(-1))
     pixels = pixels[kept]
     forms = np.zeros((len(kept), 2, FINE, FINE), np.float32)
     margin = trims(pixels)
@@ -89,23 +104,27 @@ def canonical(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept, forms
 
 
-def hashes(forms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For (n, 12, 12) forms: (n, parts) buckets, (n, parts, 2**FLIPS) probes, (n,) 64-bit signatures."""
-    n = len(forms)
-    small = np.einsum("ih,nhw,jw->nij", _area(FINE, SIDE), forms, _area(FINE, SIDE), optimize=True)
+def _small(forms: np.ndarray) -> np.ndarray:
+    return np.einsum("ih,nhw,jw->nij", _area(FINE, SIDE), forms, _area(FINE, SIDE), optimize=True)
+
+
+def hashes(forms: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For (n, 12, 12) forms in the first ``turns`` orientations: (n, turns) codes of the left half,
+    (n, turns, 2**FLIPS) probes, (n, turns) 64-bit signatures of the whole."""
+    n, small = len(forms), _small(forms)
     weights = (1 << np.arange(BITS)).astype(np.int64)
-    buckets = np.zeros((n, len(PARTS)), np.int64)
-    probes = np.zeros((n, len(PARTS), 1 << FLIPS), np.int64)
+    codes, probes = np.zeros((n, turns), np.int64), np.zeros((n, turns, 1 << FLIPS), np.int64)
+    signatures = np.zeros((n, turns), np.int64)
     subsets = (np.arange(1 << FLIPS)[:, None] >> np.arange(FLIPS)) & 1
-    for p, (rows, cols) in enumerate(PARTS):
-        values = standardise(small[:, rows, cols]).reshape(n, -1) @ _planes(p)
-        code = (values > 0) @ weights
-        buckets[:, p] = code
+    for t in range(turns):
+        own = turned(small, t)
+        values = standardise(own[:, :, : SIDE // 2]).reshape(n, -1) @ _planes()
+        codes[:, t] = (values > 0) @ weights
         weakest = np.argpartition(np.abs(values), FLIPS, axis=1)[:, :FLIPS]
-        probes[:, p] = code[:, None] ^ (weights[weakest] @ subsets.T)
-    signs = standardise(small).reshape(n, -1) @ _signature_planes() > 0
-    signature = np.packbits(signs, axis=1).view(">i8").astype(np.int64).ravel()
-    return buckets, probes, signature
+        probes[:, t] = codes[:, t, None] ^ (weights[weakest] @ subsets.T)
+        signs = standardise(own).reshape(n, -1) @ _signature_planes() > 0
+        signatures[:, t] = np.packbits(signs, axis=1).view(">i8").astype(np.int64).ravel()
+    return codes, probes, signatures
 
 
 def pack_form(forms: np.ndarray) -> np.ndarray:

@@ -1,14 +1,16 @@
 """Problem 1: evaluation records that the training split also holds, exactly or nearly.
 
 The records here are pictures, so their canonical form takes the place of
-case, punctuation and white space: margins, size, exposure and colour drop out
-(see ``picture_hash``).  Evaluation hashes are joined with training hashes;
+case, punctuation and white space: margins, size, exposure, colour and
+direction drop out (see ``picture_hash``).  Evaluation hashes are joined with training hashes;
 what shares a bucket and is close by its 64-bit signature is compared cell by
 cell on the canonical forms.
 
 Equal pictures are one picture from the start: only distinct ones are hashed
 and compared, and rows come back by membership at the end, so a picture that
-fills a third of the table costs one comparison per partner.
+fills a third of the table costs one comparison per partner.  A bucket of many
+nearly equal pictures is split: its training side is dealt to salts of about
+``HOT`` pictures each, and the evaluation side asks every salt.
 
 Defined results: a row with null or empty bytes, bytes that do not fit
 height x width x 3, or a single colour belongs to no case; a row with a null
@@ -32,6 +34,8 @@ SAME = 0.96
 #: Signature bits of 64 that may differ.
 APART = 24
 CHUNK = 2048
+#: Training pictures of one bucket that meet in one task.
+HOT = 256
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,12 +59,14 @@ def _unpack(column: pd.Series) -> np.ndarray:
     return H.unpack_form(flat)
 
 
-def _hash_rows(pictures: pd.Series, codes: np.ndarray, signature: np.ndarray) -> pd.DataFrame:
-    """Rows (bucket, signature, picture) of (n, parts, k) codes; the part is the bucket's high bits."""
-    n, parts, k = codes.shape
-    buckets = codes + (np.arange(parts, dtype=np.int64) << H.BITS)[None, :, None]
-    each = np.repeat(np.arange(n), parts * k)
-    return pd.DataFrame({"bucket": buckets.reshape(-1), "signature": signature[each], "picture": pictures.to_numpy()[each]})
+def _hash_rows(pictures: pd.Series, codes: np.ndarray, signatures: np.ndarray) -> pd.DataFrame:
+    """Rows (bucket, signature, turn, picture) of (n, turns, k) codes."""
+    n, turns, k = codes.shape
+    each = np.repeat(np.arange(n), turns * k)
+    return pd.DataFrame({
+        "bucket": codes.reshape(-1), "signature": np.repeat(signatures.reshape(-1), k),
+        "turn": np.tile(np.repeat(np.arange(turns, dtype=np.int32), k), n), "picture": pictures.to_numpy()[each],
+    })
 
 
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,8 +75,8 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             part = batch.iloc[at : at + CHUNK]
             forms = _unpack(part["form"])
             for variant in (0, 1):
-                buckets, _, signature = H.hashes(forms[:, variant])
-                yield _hash_rows(part["picture"], buckets[:, :, None], signature)
+                codes, _, signatures = H.hashes(forms[:, variant], H.TURNS // 2)
+                yield _hash_rows(part["picture"], codes[:, :, None], signatures)
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,20 +84,21 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for at in range(0, len(batch), CHUNK):
             part = batch.iloc[at : at + CHUNK]
             forms = _unpack(part["form"])
-            for own in (forms[:, 0], forms[:, 1], np.ascontiguousarray(forms[:, 0, :, ::-1])):
-                _, probes, signature = H.hashes(own)
-                yield _hash_rows(part["picture"], probes, signature)
+            for variant in (0, 1):
+                _, probes, signatures = H.hashes(forms[:, variant], H.TURNS)
+                yield _hash_rows(part["picture"], probes, signatures)
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for at in range(0, len(batch), CHUNK):
             part = batch.iloc[at : at + CHUNK]
-            a, b = _unpack(part["form_a"]), _unpack(part["form_b"])
+            a, b, turn = _unpack(part["form_a"]), _unpack(part["form_b"]), part["turn"].to_numpy()
             best = np.full(len(part), -1.0)
-            for x, y in ((0, 0), (0, 1), (1, 0)):
-                for flip in (1, -1):
-                    best = np.maximum(best, H.likeness(a[:, x, :, ::flip], b[:, y]))
+            for t in np.unique(turn):
+                own = np.flatnonzero(turn == t)
+                for x, y in ((0, 0), (0, 1), (1, 0)):
+                    best[own] = np.maximum(best[own], H.likeness(H.turned(a[own, x], int(t)), b[own, y]))
             yield part.assign(likeness=best)[["picture_a", "picture_b", "likeness"]]
 
 
@@ -109,18 +116,28 @@ def overlaps(df: DataFrame, key: str, img: str, height: str, width: str, train:
     kind = rows.schema["key"].dataType.simpleString()
     members = cut(named.mapInPandas(_forms, f"key {kind}, train boolean, picture binary, form binary"), "p1-forms")
     pictures = cut(members.groupBy("picture", "train").agg(F.min("form").alias("form")), "p1-pictures")
-    shape = "bucket bigint, signature bigint, picture binary"
-    index = pictures.where("train").mapInPandas(_index, shape).withColumnRenamed("picture", "picture_b").withColumnRenamed("signature", "signature_b")
-    probes = pictures.where("not train").mapInPandas(_probe, shape).withColumnRenamed("picture", "picture_a")
+    shape = "bucket bigint, signature bigint, turn int, picture binary"
+    index = cut(pictures.where("train").mapInPandas(_index, shape), "p1-index")
+    probes = pictures.where("not train").mapInPandas(_probe, shape)
+    # how many salts a bucket is dealt to; only the few hot ones are listed
+    hot = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    index = index.join(hot, "bucket", "left").select(
+        "bucket", F.pmod(F.xxhash64("picture"), salts).cast("int").alias("salt"), F.col("signature").alias("signature_b"), F.col("turn").alias("turn_b"), F.col("picture").alias("picture_b"))
+    probes = probes.join(hot, "bucket", "left").select(
+        "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "signature", "turn", F.col("picture").alias("picture_a"))
+    # both turned, they are close: so is the training picture to the other turned by the difference
+    turn = (F.expr("turn div 4").cast("int") * 4 + F.pmod(F.col("turn") % 4 - F.col("turn_b"), F.lit(4))).alias("turn")
     near = (
-        probes.join(index, "bucket")
+        probes.join(index, ["bucket", "salt"])
         .where(F.bit_count(F.col("signature").bitwiseXOR(F.col("signature_b"))) <= APART)
-        .select("picture_a", "picture_b").distinct()
+        .select("picture_a", "picture_b", turn).distinct()
     )
     forms_a = pictures.where("not train").select(F.col("picture").alias("picture_a"), F.col("form").alias("form_a"))
     forms_b = pictures.where("train").select(F.col("picture").alias("picture_b"), F.col("form").alias("form_b"))
     compared = near.join(forms_a, "picture_a").join(forms_b, "picture_b").mapInPandas(_compare, "picture_a binary, picture_b binary, likeness double")
-    return compared.where(F.col("likeness") >= SAME), members.drop("form")
+    same = compared.where(F.col("likeness") >= SAME).groupBy("picture_a", "picture_b").agg(F.max("likeness").alias("likeness"))
+    return same, members.drop("form")
 
 
 def overlap_rows(pairs: DataFrame, members: DataFrame) -> DataFrame:
