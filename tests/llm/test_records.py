@@ -60,6 +60,8 @@ def test_swap_repair_reaches_feasible_targets():
     assert sum(counts) == 200 and abs(sum(abs(c - w) for c, w in zip(counts, want))) <= 0.5
     short = S.swap_repair([10, 3], [5.0, 9.0], [1, 1], 13)
     assert short == [10, 3]
+    # together the targets ask for more than the sample holds: what is scarce is used up
+    assert S.swap_repair([1000, 7, 1000], [60.0, 9.0, 60.0], [1, 1, 1], 100, seed=2)[1] == 7
 
 
 def test_sample(spark):
@@ -202,6 +204,40 @@ def test_candidates_hold_every_pair_one_error_apart(spark):
     assert linked(spark, songs, items) == {(f"s{k}", f"i{k}") for k in range(1, 8)}
 
 
+def edges_of(spark, songs, items):
+    a = spark.createDataFrame(songs, "track_id string, title string, artist_name string, duration double")
+    b = spark.createDataFrame(items, "item string, name string, artists string, seconds double")
+    edges, na, nb = linkage.graph(a, b, key="track_id", title="title", artist="artist_name", length=F.col("duration"), other_key="item", other_title="name", other_artist="artists", other_length=F.col("seconds"))
+    named = edges.join(na.select(F.col("node").alias("node_a"), F.col("key").alias("a")), "node_a").join(nb.select(F.col("node").alias("node_b"), F.col("key").alias("b")), "node_b")
+    return {(r["a"], r["b"]): (r["own"], r["score"]) for r in named.collect()}
+
+
+def test_neighbours_decide_uncertain_edges(spark):
+    """The same edge on its own evidence: promoted by the other records of its performers, or rejected because they lead elsewhere."""
+    song, item = ("s0", "Door", "Edda Faldiman", 100.0), ("i0", "Doorr", "E. Faldiman", None)
+    titles = ["Lamp", "Tunnel", "Orchard", "Prairie", "Canyon", "Meadow"]
+    for other, promoted in (("Edda Faldiman", True), ("Enora Faldiman", False)):
+        songs = [song, *((f"s{k}", t, other, 100.0 + 20 * k) for k, t in enumerate(titles, 1))]
+        items = [item, *((f"i{k}", t, "E. Faldiman", 100.5 + 20 * k) for k, t in enumerate(titles, 1))]
+        got = edges_of(spark, songs, items)
+        own, score = got["s0", "i0"]
+        assert own < linkage.ACCEPT and (score >= linkage.ACCEPT) == promoted
+        assert all(got[f"s{k}", f"i{k}"][1] >= linkage.ACCEPT for k in range(1, 7))
+
+
+def test_rivals_of_nameless_items(spark):
+    songs = [("s1", "Door", "Edda Faldiman", 100.0), ("s2", "Door", "Orla Quirenik", 103.0), ("s3", "Lamp", "Edda Faldiman", 150.0)]
+    assert linked(spark, songs, [("i1", "Door", None, 100.1), ("i2", "Lamp", "Various Artists", None), ("i3", "Door", None, None)]) == {("s1", "i1"), ("s3", "i2")}
+
+
+def test_hot_attributes(spark, monkeypatch):
+    songs = [(f"s{k}", "Door", f"{'ABCDEFGH'[k % 8]}orin Q{'aeiou'[k % 5]}renik{k}", 100.0) for k in range(40)]
+    items = [(f"i{k}", "Door", a, 100.0) for k, (_, _, a, _) in enumerate(songs)] + [("i99", "Doors", songs[7][2], 100.0)]
+    plain = edges_of(spark, songs, items)
+    monkeypatch.setattr(linkage, "HOT", 4)
+    assert edges_of(spark, songs, items) == plain and ("s7", "i99") in plain
+
+
 def test_nameless_items_keep_misspelt_copies(spark):
     songs = [
         ("s1", "Jealous Mirror", "Orla Quirenik", 200.0), ("s2", "Jaelous Mirror", "Orla Quirenik", 200.0), ("s3", "Jealus Mirror", "Orla Quirenki", 200.0), ("s4", "Jealous Mirrow", "The Rokpaken Moons", 200.0),

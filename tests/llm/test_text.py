@@ -27,6 +27,8 @@ def test_transducer_round_trip():
     others = [bytes(rng.choices(b"abcde", k=rng.randint(1, 8))) for _ in range(500)]
     assert all(read.get(w) is None for w in others if w not in words)
     assert read.words == len(words) and read.states < 600 * 4
+    for listed in (sorted([*words, *others]), [*others, *words]):
+        assert list(read.walk(listed)) == [words.get(w) for w in listed]
 
 
 def test_transducer_is_minimal():
@@ -48,7 +50,7 @@ def test_encoding(spark, tokenizer):
     assert len(got) == len(texts)
     for k, text in enumerate(texts):
         assert got[k] == (tokenizer.encode(text, add_special_tokens=False).ids if text else [])
-    small = K.build_lexicon(df, "text", limit=1)
+    small = K.build_lexicon(df, "text", share=0.2)
     assert {r["doc_id"]: list(r["ids"]) for r in K.encode_texts(df, "doc_id", "text", small).collect()} == got
     sizes = {r["doc_id"]: r["n_tokens"] for r in K.count_tokens(df, "doc_id", "text", small).collect()}
     assert sizes == {k: len(v) for k, v in got.items()}
@@ -65,6 +67,17 @@ def test_harmonic_fill():
             fill[b] = fill.get(b, 0) + s
         assert all(v <= 100 for v in fill.values())
         assert len([v for v in fill.values() if v]) <= -(-sum(sizes) // 100) * 1.35 + 1
+        assert set(bins) == set(range(max(bins, default=-1) + 1))
+
+
+def test_layouts_depend_on_classes_alone():
+    rng = random.Random(5)
+    bounds = P.class_bounds(2048)
+    sizes = [min(2048, int(rng.lognormvariate(5, 1)) + 1) for _ in range(3000)]
+    assert {2048 // k for k in range(1, 2049)} <= set(bounds.tolist())
+    widest = [int(bounds[bounds.searchsorted(s)]) for s in sizes]  # every item as long as its class allows
+    assert P.harmonic_fill(sizes, 2048) == P.harmonic_fill(widest, 2048)
+    assert max(P.harmonic_fill(sizes, 2048)) + 1 <= 1.03 * sum(sizes) / 2048 + 2
 
 
 def test_pack(spark):

@@ -1,17 +1,17 @@
 """Problem 7: filling containers of fixed capacity by harmonic packing.
 
-An item of length s belongs to the reciprocal class k with C/(k+1) < s <= C/k:
-exactly k such items go into one container, whatever their order, so every
-worker fills its own containers without asking anyone.  An item longer than
-the capacity is first cut into full containers and a remainder; no other item
-is split.
-
-Harmonic classes alone leave up to 1/(k+1) of a container unused, so a worker
-tops each one up, largest fitting item first, from the smaller items it holds
-before those open containers of their own.
-
-Items are dealt to workers by a hash of their key, about ``SHARD_ITEMS`` to
-each, so no group depends on a class, a length or a source.
+Lengths are partitioned into reciprocal classes, C/(k+1) < s <= C/k, and each
+of these into finer ones with a bound u of their own.  A container is laid out
+by bounds alone: of its class it takes a fixed count, C/u rounded down, and the
+room that is then left by the bounds holds a fixed count of each smaller class
+that fits.  Whatever the lengths within their classes, no container overflows,
+so whole series of containers are filled at once, and every worker fills its
+own without asking anyone.
+
+An item longer than the capacity is first cut into full containers and a
+remainder; no other item is split.  Items are dealt to workers by a hash of
+their key, about ``SHARD_ITEMS`` to each, so no group depends on a class, a
+length or a source.
 
 Defined results: an item of length 0 or null takes no space and is filed in
 the shard's first container; an empty table gives an empty result.
@@ -20,7 +20,7 @@ the shard's first container; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,26 +28,46 @@ from pyspark.sql import DataFrame, functions as F
 
 CAPACITY = 2048
 SHARD_ITEMS = 20_000
+#: A class is at most this share of its bound wide.
+FINE = 64
+
+
+@lru_cache(maxsize=8)
+def class_bounds(capacity: int, fine: int = FINE) -> np.ndarray:
+    """Ascending bounds of the classes: every C/k, and finer ones between them."""
+    bounds, u = {capacity // k for k in range(1, capacity + 1)}, capacity
+    while u > 0:
+        bounds.add(u)
+        u -= max(1, u // fine)
+    return np.array(sorted(bounds))
 
 
 def harmonic_fill(sizes: list[int], capacity: int) -> list[int]:
     """The container number of each item; 0-based and dense.  Items are at most ``capacity`` long."""
-    order = sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: sizes[i])
-    keys = [sizes[i] for i in order]  # ascending; the tail is the largest
-    bins, opened = [0] * len(sizes), 0
-    while order:
-        per_bin = capacity // keys[-1]  # the class of the largest item left
-        lowest = capacity // (per_bin + 1)  # items of the class are longer than this
-        room, taken = capacity, 0
-        while order and taken < per_bin and keys[-1] > lowest:
-            room -= keys.pop()
-            bins[order.pop()] = opened
-            taken += 1
-        while room and (fit := bisect_right(keys, room)):
-            room -= keys.pop(fit - 1)
-            bins[order.pop(fit - 1)] = opened
-        opened += 1
-    return bins
+    bounds, lengths = class_bounds(capacity), np.asarray(sizes, np.int64)
+    of = np.searchsorted(bounds, lengths)
+    of[lengths == 0] = -1
+    order = np.argsort(of, kind="stable")
+    start = np.searchsorted(of[order], np.arange(len(bounds)))
+    left = np.bincount(of[of >= 0], minlength=len(bounds))
+    bins, opened = np.zeros(len(lengths), np.int64), 0
+    filled = [int(c) for c in np.flatnonzero(left)[::-1]]  # classes with items, the largest first
+    while filled:
+        room, layout = capacity, []
+        for c in filled:
+            count = min(room // int(bounds[c]), int(left[c]))
+            if count:
+                layout.append((c, count))
+                room -= count * int(bounds[c])
+        alike = min(int(left[c]) // count for c, count in layout)  # containers of this layout
+        for c, count in layout:
+            taken = order[start[c] : start[c] + alike * count]
+            bins[taken] = opened + np.repeat(np.arange(alike), count)
+            start[c] += alike * count
+            left[c] -= alike * count
+        opened += alike
+        filled = [c for c in filled if left[c]]
+    return bins.tolist()
 
 
 def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:

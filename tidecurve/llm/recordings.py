@@ -169,33 +169,37 @@ def same_word(a: str, b: str) -> float:
     return 0.8 if len(a) > 3 and len(b) > 3 and near(a, b) else 0.0
 
 
-def covered(small: list[str], large: list[str]) -> float:
-    """How well every word of ``small`` finds a word of its own in ``large``; 0 where one finds none."""
-    left, total, full = list(large), 0.0, False
-    for w in sorted(small, key=len, reverse=True):
+def covered(small: list[str], large: list[str]) -> tuple[float, str]:
+    """How well every word of ``small`` finds a word of its own in ``large``, and those words joined; 0 where one finds none."""
+    left, total, full, found = list(large), 0.0, False, {}
+    for k in sorted(range(len(small)), key=lambda k: -len(small[k])):
+        w = small[k]
         best = max(left, key=lambda x: same_word(w, x), default=None)
         how = same_word(w, best) if best is not None else 0.0
         if not how:
-            return 0.0
+            return 0.0, ""
         full |= how >= 0.8 and len(w) > 1
         left.remove(best)
+        found[k] = best
         total += how
-    return total / len(small) if full and small else 0.0
+    return (total / len(small), "".join(found[k] for k in range(len(small)))) if full and small else (0.0, "")
 
 
-def artist_likeness(a: Reading, b: Reading) -> float | None:
-    """None where one side names nobody."""
+def same_artist(a: Reading, b: Reading) -> tuple[float | None, str, str]:
+    """Likeness of the performers both sides name, and how each side spells them; None where one side names nobody."""
     if not a.artist or not b.artist:
-        return None
-    joined_a, joined_b = "".join(a.artist), "".join(b.artist)
+        return None, "".join(a.artist), "".join(b.artist)
+    joined_a, joined_b, lead_a, lead_b = ("".join(x) for x in (a.artist, b.artist, a.lead, b.lead))
     if joined_a == joined_b:
-        return 1.0
-    best = max(covered(a.lead, b.artist), covered(b.lead, a.artist))
-    if not best and len(joined_a) > 5 and near(joined_a, joined_b):
-        best = 0.8
-    if not best and len(a.lead) > 1 and len("".join(a.lead)) > 5 and near("".join(a.lead), "".join(b.lead)):
-        best = 0.8
-    return best
+        return 1.0, joined_a, joined_b
+    of_a, of_b = covered(a.lead, b.artist), covered(b.lead, a.artist)
+    if of_a[0] or of_b[0]:
+        return (of_a[0], lead_a, of_a[1]) if of_a[0] >= of_b[0] else (of_b[0], of_b[1], lead_b)
+    if len(joined_a) > 5 and near(joined_a, joined_b):
+        return 0.8, joined_a, joined_b
+    if len(a.lead) > 1 and len(lead_a) > 5 and near(lead_a, lead_b):
+        return 0.8, lead_a, lead_b
+    return 0.0, "", ""
 
 
 def _digits(tokens: list[str]) -> list[str]:

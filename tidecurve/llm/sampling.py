@@ -9,10 +9,13 @@ for everything else reach the driver.
 2. repair: as long as some exchange of one block of records between two
    signatures lowers the summed deviation from the targets, the best such
    exchange is made.  Block sizes halve from n/2 to 1, so the number of
-   exchanges is logarithmic in n times the number of categories;
-3. materialise: of each signature the wanted number of records is drawn
-   uniformly by a seeded hash; the cut-off is found by counts per hash cell,
-   so that no category is ever sorted in one task.
+   exchanges is logarithmic in n times the number of categories.  A signature
+   without enough records weighs a little more, so that the repair uses it up;
+3. report: what a category still lacks after the repair is held against what
+   the repair has left of its records;
+4. materialise: of each signature the wanted number of records is drawn
+   uniformly by a seeded hash.  Counts per hash cell tell the one cell in which
+   a signature's draw ends; only the rows of that cell are ranked.
 
 Defined results: a null in a category column is no category; such records
 and those of untargeted categories fill the sample only where the targeted
@@ -27,7 +30,10 @@ import random
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-CELL_BITS = 12
+#: Rows of a hash cell, and the most bits of the hash that name a cell.
+CELL_ROWS, CELL_BITS = 4096, 16
+#: Added weight of a signature that cannot meet its target.
+SCARCE = 1e-6
 
 
 def _deal(left: list[int], n: int, rng: random.Random) -> list[int]:
@@ -54,11 +60,12 @@ def swap_repair(have: list[int], want: list[float], floors: list[int], n: int, s
         base = [int(b * scale) for b in base]
     drawn = _deal([h - b for h, b in zip(have, base)], n - sum(base), rng)
     counts = [b + d for b, d in zip(base, drawn)]
-    block = max(1, n // 2)
+    block, weight = max(1, n // 2), [1 + SCARCE * (h < w) for h, w in zip(have, want)]
     while True:
         # exchange value: what one signature loses or wins in deviation for a block
-        give = [(abs(c - block - w) - abs(c - w), i) for i, (c, w) in enumerate(zip(counts, want)) if c - block >= base[i]]
-        take = [(abs(c + block - w) - abs(c - w), i) for i, (c, w) in enumerate(zip(counts, want)) if c + block <= have[i]]
+        rows = list(enumerate(zip(counts, want, weight)))
+        give = [(k * (abs(c - block - w) - abs(c - w)), i) for i, (c, w, k) in rows if c - block >= base[i]]
+        take = [(k * (abs(c + block - w) - abs(c - w)), i) for i, (c, w, k) in rows if c + block <= have[i]]
         best = min(((g + t, i, j) for g, i in sorted(give)[:2] for t, j in sorted(take)[:2] if i != j), default=None)
         if best and best[0] < -1e-9:
             counts[best[1]] -= block
@@ -75,9 +82,10 @@ def plan_sample(
     """One row per target category: records there, asked for, drawn, and whether it falls short.
 
     ``need`` is the larger of the floor and share x n, n being ``fraction`` of
-    all records rounded down.  ``short`` marks categories that do not have
-    ``need`` records, so that no exchange can meet their target.  The row with
-    null signature stands for all records outside the targeted categories.
+    all records rounded down.  ``short`` marks categories whose repaired count
+    lacks more than the repair has left of their records, so that no exchange
+    can meet their target.  The row with null signature stands for all records
+    outside the targeted categories.
     """
     spark = records.sparkSession
     wanted = targets.select(*[F.col(c).alias(f"s{i}") for i, c in enumerate(signature)],
@@ -92,7 +100,7 @@ def plan_sample(
     ask = [r["share"] * n for r in rows]
     need = [max(float(f), a) for f, a in zip(floors, ask)]
     counts = swap_repair([*have, total - sum(have)], [*need, 0.0], [*floors, 0], n, seed)
-    out = [(*[r[k] for k in keys], r["share"], r["floor"], r["have"], q, c, r["have"] < q)
+    out = [(*[r[k] for k in keys], r["share"], r["floor"], r["have"], q, c, q - c > r["have"] - c)
            for r, q, c in zip(rows, need, counts)]
     out.append((*[None] * len(keys), None, None, total - sum(have), 0.0, counts[-1], False))
     kinds = ", ".join(f"{c} {wanted.schema[k].dataType.simpleString()}" for c, k in zip(signature, keys))
@@ -108,19 +116,20 @@ def draw_sample(records: DataFrame, plan: DataFrame, signature: list[str], key:
     asked = [(*[r[c] for c in signature], r["drawn"], g) for g, r in enumerate(rows) if all(r[c] is not None for c in signature)]
     kinds = ", ".join(f"{k} {plan.schema[c].dataType.simpleString()}" for c, k in zip(signature, keys))
     groups = spark.createDataFrame(asked, f"{kinds}, _asked bigint, _group bigint")
+    bits = min(CELL_BITS, max(1, sum(r["have"] for r in rows) // CELL_ROWS).bit_length())
     marked = (
-        records.select("*", *[F.col(c).alias(k) for c, k in zip(signature, keys)])
-        .join(F.broadcast(groups), keys, "left")
-        .withColumn("_take", F.coalesce("_asked", F.lit(rest)))
-        .withColumn("_group", F.coalesce("_group", F.lit(-1)))
-        .withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
-        .withColumn("_cell", F.shiftrightunsigned("_draw", 64 - CELL_BITS))
-        .drop(*keys, "_asked")
+        records.select(F.struct("*").alias("row"), F.col(key).alias("key"), *[F.col(c).alias(k) for c, k in zip(signature, keys)])
+        .join(F.broadcast(groups), keys, "left")  # one row per target
+        .select("row", "key", F.coalesce("_group", F.lit(-1)).alias("group"), F.xxhash64(F.lit(seed), "key").alias("draw"))
+        .withColumn("cell", F.shiftrightunsigned("draw", 64 - bits))
     )
-    cells = marked.groupBy("_group", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    # a cell is taken whole, in part or not at all; the partial one of each group is ranked
-    joined = marked.join(cells.drop("_n"), ["_group", "_cell"]).where("_before < _take")
-    within = Window.partitionBy("_group", "_cell").orderBy("_draw", key)
-    return joined.withColumn("_rank", F.row_number().over(within)).where("_before + _rank <= _take").select(*records.columns)
+    cells = marked.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("group").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    take = F.coalesce(F.create_map(*[F.lit(v) for *_, n, g in asked for v in (g, n)] or [F.lit(-2), F.lit(0)])[F.col("group")], F.lit(rest))
+    # every group's draw ends in one cell, of which so many rows are still wanted
+    last = cells.select("group", "cell", (take - before).alias("wanted"), "n").where("wanted > 0").groupBy("group").agg(F.max_by(F.struct("cell", "wanted"), "cell").alias("l"))
+    ends = F.broadcast(last.select("group", F.col("l.cell").alias("last"), F.col("l.wanted").alias("wanted")))  # one row per target
+    taken = marked.join(ends, "group")
+    nth = F.row_number().over(Window.partitionBy("group").orderBy("draw", "key"))
+    partial = taken.where("cell = last").withColumn("nth", nth).where("nth <= wanted")
+    return taken.where("cell < last").select("row.*").unionByName(partial.select("row.*"))

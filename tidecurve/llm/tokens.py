@@ -1,10 +1,12 @@
 """Problem 6: every text as its list of token ids by a public byte-level BPE vocabulary.
 
-The corpus' words are counted in the JVM; the most frequent ones, with their
-ids, are compiled into one minimal transducer (see ``transducer``), which is
-written to the shared folder, sent to every executor once and memory-mapped by
-its Python workers.  A word the lexicon lacks is merged exactly, so the
-lexicon's size changes the speed and never the ids.
+The corpus' words are counted in the JVM; the frequent ones, with their ids,
+are compiled into one minimal transducer (see ``transducer``), which is written
+to the shared folder, sent to every executor once and memory-mapped by its
+Python workers.  Each batch of texts walks its distinct words through the
+transducer in byte order; a word it lacks is merged exactly, so the lexicon's
+size changes the speed and never the ids.  A lexicon once built can be passed
+to later runs.
 
 Defined results: a null or empty text gives an empty list; a blank text gives
 the ids of its characters; strings of special tokens are ordinary text; a
@@ -25,11 +27,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidecurve.llm.transducer import Transducer, compile_lexicon
-from tidecurve.shared import fresh_dir
+from tidecurve.shared import cut, fresh_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-LEXICON_WORDS = 50_000
-MEMO_WORDS = 200_000
+#: A word is frequent from this share of all words on, so there are at most 100,000.
+LEXICON_SHARE = 1e-5
+#: Characters of text encoded together.
+TOGETHER = 4_000_000
 #: Fixed value: the pattern that splits text before the merges of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -75,12 +79,12 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def frequent_words(texts: DataFrame, column: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent words over all texts, ties in word order."""
+def frequent_words(texts: DataFrame, column: str, share: float = LEXICON_SHARE) -> list[str]:
+    """The words that are ``share`` of all words of all texts at least: no more than 1 / share."""
     words = texts.select(F.explode(F.regexp_extract_all(column, F.lit(PATTERN), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    top = counted.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(limit)
-    return [r["word"] for r in top.collect()]
+    counted = cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "p6-words")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    return [r["word"] for r in counted.where((F.col("n") >= share * total) & (F.length("word") <= 64)).select("word").collect()]
 
 
 class Lexicon:
@@ -89,33 +93,40 @@ class Lexicon:
     def __init__(self, lexicon_file: str, vocabulary_file: str) -> None:
         self.lexicon_file, self.vocabulary_file = lexicon_file, vocabulary_file
 
-    def encoder(self) -> Callable[[str], list[int]]:
+    def encoder(self) -> Callable[[list[str]], list[list[int]]]:
+        """A function from texts to their ids."""
         import regex
 
         ranks = load_ranks(SparkFiles.get(self.vocabulary_file))
         lexicon = Transducer.open(SparkFiles.get(self.lexicon_file))
-        split, memo = regex.compile(PATTERN).findall, {}
-
-        def encode(text: str) -> list[int]:
-            out: list[int] = []
-            for word in split(text):
-                ids = memo.get(word)
-                if ids is None:
-                    raw = word.encode()
-                    ids = lexicon.get(raw) or merge(raw, ranks)
-                    if len(memo) >= MEMO_WORDS:
-                        memo.clear()
-                    memo[word] = ids
-                out += ids
-            return out
+        split = regex.compile(PATTERN).findall
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            cut_up = [split(t) for t in texts]
+            raw = sorted({w.encode() for w in set().union(*cut_up)})
+            ids = {word.decode(): known or merge(word, ranks) for word, known in zip(raw, lexicon.walk(raw))}
+            return [[i for w in words for i in ids[w]] for words in cut_up]
 
         return encode
 
 
-def build_lexicon(texts: DataFrame, column: str, vocabulary: str = VOCABULARY, limit: int = LEXICON_WORDS) -> Lexicon:
+def _encoded(encode: Callable[[list[str]], list[list[int]]], column: pa.Array) -> Iterator[list[int]]:
+    """Ids of each text of a column, ``TOGETHER`` characters at a time."""
+    texts, size = [], 0
+    for value in column:
+        texts.append(value.as_py() or "")
+        size += len(texts[-1])
+        if size >= TOGETHER:
+            yield from encode(texts)
+            texts, size = [], 0
+    if texts:
+        yield from encode(texts)
+
+
+def build_lexicon(texts: DataFrame, column: str, vocabulary: str = VOCABULARY, share: float = LEXICON_SHARE) -> Lexicon:
     spark = texts.sparkSession
     ranks = load_ranks(vocabulary)
-    block = compile_lexicon({raw: merge(raw, ranks) for raw in {w.encode() for w in frequent_words(texts, column, limit) or [" "]}})
+    block = compile_lexicon({raw: merge(raw, ranks) for raw in {w.encode() for w in frequent_words(texts, column, share) or [" "]}})
     name = f"lexicon-{uuid.uuid4().hex}.mat"
     path = f"{fresh_dir(spark, 'p6')}/{name}"
     _write(spark, path, block)
@@ -145,10 +156,8 @@ def encode_texts(df: DataFrame, key: str, column: str, lexicon: Lexicon | None =
         encode = lexicon.encoder()
         for batch in batches:
             offsets, flat = [0], []
-            for text in batch.column(1):
-                value = text.as_py()
-                if value:
-                    flat += encode(value)
+            for own in _encoded(encode, batch.column(1)):
+                flat += own
                 offsets.append(len(flat))
             ids = pa.ListArray.from_arrays(np.asarray(offsets, np.int32), pa.array(np.asarray(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["key", "ids"])
@@ -164,7 +173,7 @@ def count_tokens(df: DataFrame, key: str, column: str, lexicon: Lexicon | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = lexicon.encoder()
         for batch in batches:
-            sizes = [len(encode(value)) if (value := text.as_py()) else 0 for text in batch.column(1)]
+            sizes = [len(own) for own in _encoded(encode, batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["key", "n_tokens"])
 
     rows = df.select(F.col(key).alias("key"), F.col(column).alias("text"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import mmap
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 
 class Builder:
@@ -112,17 +112,30 @@ class Transducer:
 
     def get(self, word: bytes) -> list[int] | None:
         """Ids of ``word``, or None where it is not in the lexicon."""
-        state, number = 0, 0
-        find, first, labels = self.block.find, self.first, self.labels
-        for at in range(len(word)):
-            edge = find(word[at : at + 1], labels + first[state], labels + first[state + 1])
-            if edge < 0:
-                return None
-            number += self.skip[edge - labels]
-            state = self.target[edge - labels]
-        if not self.block[self.finals + state]:
-            return None
-        return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
+        return next(self.walk([word]))
+
+    def walk(self, words: Iterable[bytes]) -> Iterator[list[int] | None]:
+        """``get`` of every word; where words come sorted, what a word shares with the last is not walked again."""
+        find, first, labels, skips, target = self.block.find, self.first, self.labels, self.skip, self.target
+        finals, starts, ids, block = self.finals, self.starts, self.ids, self.block
+        last, path = b"", [(0, 0)]  # state and number after each byte of the last word, as far as it led
+        for word in words:
+            same, most = 0, min(len(path) - 1, len(word), len(last))
+            while same < most and word[same] == last[same]:
+                same += 1
+            del path[same + 1 :]
+            state, number = path[-1]
+            for at in range(same, len(word)):
+                edge = find(word[at : at + 1], labels + first[state], labels + first[state + 1])
+                if edge < 0:
+                    yield None
+                    break
+                number += skips[edge - labels]
+                state = target[edge - labels]
+                path.append((state, number))
+            else:
+                yield ids[starts[number] : starts[number + 1]].tolist() if block[finals + state] else None
+            last = word
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
