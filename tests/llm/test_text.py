@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import phrases
 from tidecurve.llm import packing as P, pii_lexer as X, pii_model as M, personal, tokens as K, transducer as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
@@ -117,18 +120,69 @@ def test_outlines(text, expected):
     assert [m for m in marked if m in expected or m[0] != "<digits>"][: len(expected)] == expected
 
 
-def test_personal_held_out(spark, sf):
-    """Against the silver labels of texts the model has not seen."""
-    docs = [r["text"] for r in spark.read.parquet(f"{sf}/../sf0.01/documents.parquet").where("text is not null").orderBy("doc_id").collect()]
-    model = M.train(docs[:700])
+@pytest.fixture(scope="module")
+def trained(sf):
+    rows = pq.read_table(f"{sf}/../sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    docs = [t for t in rows if t and t.strip()]
+    return M.train(docs[:2500]), docs[2500:4000]
+
+
+def test_names_in_phrases_nobody_trained_on(trained):
+    """Names found in texts not seen in training, held against phrases that no evidence lists."""
+    model, docs = trained
     hit = wrong = missed = 0
-    for text in docs[700:]:
-        flat, cut = X.cut(text)
-        got = set(M.entities(model, cut, M.predict(model, [cut], {})[0]))
-        want = set(M.entities(model, cut, M.silver(flat, cut)))
-        got, want = {(s, k) for s, _, k in got}, {(s, k) for s, _, k in want}
-        hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert hit / (hit + wrong) > 0.8 and hit / (hit + missed) > 0.85
+    for at in range(0, len(docs), 300):
+        cuts = [X.cut(t) for t in docs[at : at + 300]]
+        for (flat, tokens), labels in zip(cuts, M.predict(model, [c[1] for c in cuts])):
+            got = {s for s, _, kind in M.entities(model, tokens, labels) if kind == "name"}
+            want = phrases.named(flat)
+            hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
+    assert hit > 200 and hit / (hit + wrong) > 0.93 and hit / (hit + missed) > 0.93
+
+
+def test_skip_links_lift_repeats(trained):
+    """A person named once in a telling place and again in a bare one: more repeats are found with the links than without."""
+    model, docs = trained
+    texts = []
+    for text in docs:
+        flat, tokens = X.cut(text)
+        first = next((flat[s:e] for s, e, k in M.entities(model, tokens, M.predict(model, [tokens])[0]) if k == "name" and " " in flat[s:e]), None)
+        if first and len(text) < 2500:
+            texts += [(f"{text}\n{first}", len(text) + 1), (f"{text} Sent to {first.split()[-1]} again.", len(text) + 9)]
+    found = {}
+    for skip in (True, False):
+        cuts = [X.cut(t)[1] for t, _ in texts]
+        found[skip] = sum(
+            any(s == at and k == "name" for s, _, k in M.entities(model, c, y)) for c, y, (_, at) in zip(cuts, M.predict(model, cuts, skip), texts))
+    assert model.skips[0] > 0.1 and found[True] > found[False]
+
+
+def test_messages_rest_and_agree_with_exact_marginals():
+    """Two short chains joined by one skip link are a tree: message passing is exact there."""
+    rng = np.random.default_rng(3)
+    forms = {f: k for k, f in enumerate(M._GENERIC)}
+    vocabulary = M.Vocabulary(forms, set())
+    shape = lambda *s: rng.normal(0, 1, s).astype(np.float32)
+    model = M.Model(vocabulary, shape(len(M.OFFSETS), len(forms), M.COUNT), shape(len(M.NEAR), M.KINDS, M.COUNT), shape(M.COUNT, M.COUNT), np.array([1.3, 0.4], np.float32))
+    scores, chain = shape(5, M.COUNT), model.chain + M._NEVER
+    laid = M.Laid(np.zeros(5, np.int32), np.zeros(5, np.int32), [(0, 5)], np.array([[1, 3, 0]]))
+    got = M._beliefs(model, laid, scores, np.array([[0, 2], [2, 5]]))
+    exact = np.zeros((5, M.COUNT))
+    first = scores[0][:, None] + chain + scores[1][None]  # labels of tokens 0, 1
+    back = scores[2][:, None, None] + chain[:, :, None] + scores[3][None, :, None] + chain[None] + scores[4][None, None]  # tokens 2, 3, 4
+    joint = np.exp(first[:, :, None, None, None] + back[None, None] + 1.3 * M._AGREE[None, :, None, :, None])
+    for k in range(5):
+        exact[k] = joint.sum(tuple(a for a in range(5) if a != k))
+    assert np.allclose(np.exp(got), exact / exact.sum(1, keepdims=True), atol=0.02)
+
+
+def test_words_are_counted_alike(spark):
+    texts = ["The old Dunroven mill. Ramo saw Dunroven at night, ramo's IRON gate", "In Dunroven, Ramo won’t sing. The IRON gate", None, "  ", "a gate in Dunroven"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    here = M.vocabulary_of(M.count_words([X.cut(t)[1] for t in texts if t and t.strip()]), 15)
+    there = personal.words(df, "text")
+    words = lambda v: {f for f in v.forms if f[0].isalpha()}
+    assert words(there) == words(here) and there.proper == here.proper and "dunroven" in there.proper
 
 
 def test_personal_edges(spark):
@@ -139,4 +193,4 @@ def test_personal_edges(spark):
     assert (3, "email", 9) in got and (3, "phone", 29) in got and {g[0] for g in got} == {3, 5}
     clean = {r["doc_id"]: r["text"] for r in personal.redacted(df, "doc_id", "text", model).collect()}
     assert clean[3] == "Write to [EMAIL] or [PHONE]." and clean[0] is None and clean[1] == "" and clean[6] == texts[6]
-    assert personal.occurrences(df.limit(0), "doc_id", "text", model).count() == 0
+    assert personal.occurrences(df.limit(0), "doc_id", "text").count() == 0

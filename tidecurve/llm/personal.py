@@ -1,9 +1,9 @@
 """Problem 8: personal information in free text, found and replaced by typed placeholders.
 
 The recogniser is the skip-chain conditional random field of ``pii_model``.
-It is trained on a sample of at most ``SAMPLE`` texts, labelled by carrier
-phrases and outlines, and then applied to every text, whole.  The model is a
-few hundred kilobytes whatever the corpus' size.
+Words are counted over all texts; the field is trained on a sample of at most
+``SAMPLE`` texts, whose labels come from general evidence, and then applied to
+every text, whole.  The model is a few megabytes whatever the corpus' size.
 
 Defined results: null, empty and blank texts hold nothing; positions are
 0-based code points of the stored text; a repeated text gives its occurrences
@@ -20,15 +20,36 @@ from pyspark.sql import DataFrame, functions as F
 from tidecurve.llm import pii_lexer, pii_model
 
 #: Bound of the labelled sample.
-SAMPLE = 6000
+SAMPLE = 3000
 #: Characters of text predicted together.
 TOGETHER = 400_000
 
 
+#: A word as ``pii_lexer`` cuts it, and one with a capital inside a sentence.
+_WORD, _INNER = r"\p{L}+(?:['\-]\p{L}+)*", r"(?<=\p{L} )\p{Lu}(?=\p{Ll})\p{L}*(?:['\-]\p{L}+)*"
+
+
+def words(texts: DataFrame, column: str) -> pii_model.Vocabulary:
+    """The vocabulary by counts over all texts: only words in a share of the documents, or capital ones, come back."""
+    own = F.regexp_extract_all(F.translate(column, "’", "'"), F.lit(_WORD), F.lit(0))
+    inner = F.regexp_extract_all(F.translate(column, "’", "'"), F.lit(_INNER), F.lit(0))
+    cased = F.transform(own, lambda w: F.struct(F.lower(w).alias("w"), F.when(w == F.lower(w), 1).when((w == F.upper(w)) & (F.length(w) > 1), 3).otherwise(2).alias("k")))
+    marked = F.concat(
+        F.transform(F.array_distinct(F.transform(own, F.lower)), lambda w: F.struct(w.alias("w"), F.lit(0).alias("k"))), cased,
+        F.transform(inner, lambda w: F.struct(F.lower(w).alias("w"), F.lit(4).alias("k"))))
+    rows = texts.where(F.length(F.trim(column)) > 0)
+    documents = rows.count()
+    counted = rows.select(F.explode(marked).alias("m")).groupBy("m.w").agg(*[F.count_if(F.col("m.k") == k).alias(f"c{k}") for k in range(5)])
+    least = max(pii_model.LEAST_DOCS, pii_model.LEAST_SHARE * documents)
+    # at most (words of a text) / LEAST_SHARE words, whatever the number of texts
+    kept = counted.where((F.col("c0") >= least) | ((F.col("c4") >= 2) & (F.col("c0") >= least / 4))).collect()
+    return pii_model.vocabulary_of({r["w"]: tuple(r[f"c{k}"] for k in range(5)) for r in kept}, documents)
+
+
 def fit(texts: DataFrame, key: str, column: str, sample: int = SAMPLE) -> pii_model.Model:
-    """Train on the ``sample`` texts whose keys hash lowest."""
+    """Count words over all texts and train on the ``sample`` texts whose keys hash lowest."""
     picked = texts.where(F.length(F.trim(column)) > 0).orderBy(F.xxhash64(key), key).limit(sample).select(column).collect()
-    return pii_model.train([r[0] for r in picked])
+    return pii_model.train([r[0] for r in picked], words(texts, column))
 
 
 def _chunks(batch: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
@@ -44,11 +65,9 @@ def _chunks(batch: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield keys, texts
 
 
-def _recognise(model: pii_model.Model, texts: list[str], memo: dict[str, int]) -> list[list[tuple[int, int, str]]]:
+def _recognise(model: pii_model.Model, texts: list[str]) -> list[list[tuple[int, int, str]]]:
     tokens = [pii_lexer.cut(t)[1] for t in texts]
-    if len(memo) > 500_000:
-        memo.clear()
-    labels = pii_model.predict(model, tokens, memo)
+    labels = pii_model.predict(model, tokens)
     return [pii_model.entities(model, t, y) for t, y in zip(tokens, labels)]
 
 
@@ -57,10 +76,9 @@ def occurrences(df: DataFrame, key: str, column: str, model: pii_model.Model | N
     shipped = df.sparkSession.sparkContext.broadcast(model or fit(df, key, column))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
         for batch in batches:
             for keys, texts in _chunks(batch):
-                rows = [(k, kind, s, e) for k, found in zip(keys, _recognise(shipped.value, texts, memo)) for s, e, kind in found]
+                rows = [(k, kind, s, e) for k, found in zip(keys, _recognise(shipped.value, texts)) for s, e, kind in found]
                 yield pd.DataFrame(rows, columns=["key", "kind", "start_pos", "end_pos"])
 
     rows = df.where(F.length(column) > 0).select(F.col(key).alias("key"), F.col(column).alias("text"))
@@ -73,11 +91,10 @@ def redacted(df: DataFrame, key: str, column: str, model: pii_model.Model | None
     shipped = df.sparkSession.sparkContext.broadcast(model or fit(df, key, column))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, int] = {}
         for batch in batches:
             for keys, texts in _chunks(batch):
                 out = []
-                for k, text, found in zip(keys, texts, _recognise(shipped.value, texts, memo)):
+                for k, text, found in zip(keys, texts, _recognise(shipped.value, texts)):
                     parts, at = [], 0
                     for start, end, kind in found:
                         parts += [text[at:start], f"[{kind.upper()}]"]
