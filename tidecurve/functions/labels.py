@@ -60,3 +60,40 @@ def top_k(v: str, k: int) -> Column:
     """Indices of the k greatest values, greatest first, lower index on ties."""
     indexed = F.transform(v, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
     return F.transform(F.slice(F.array_sort(indexed), 1, k), lambda s: s["i"])
+
+
+def not_neutral(sentiment: Column, t: float = 0.5, compat: bool = False) -> Column:
+    """Beyond t either way.  ``compat``: t itself is kept as well, as a reader of written records did."""
+    return F.abs(sentiment) >= t if compat else F.abs(sentiment) > t
+
+
+def present(*values: Column, compat: bool = False) -> Column:
+    """All values known.  ``compat``: a zero counts as unknown."""
+    kept = F.lit(True)
+    for v in values:
+        kept = kept & v.isNotNull() & ((v != 0) if compat else F.lit(True))
+    return kept
+
+
+def weighted_mean(value: Column, weight: Column) -> Column:
+    """Aggregate: the mean of the known values by weight; null where none is known or the weights are 0."""
+    known = F.when(value.isNotNull(), weight)
+    return F.sum(value * weight) / F.nullif(F.sum(known), F.lit(0))
+
+
+def running_mean_compat(items: list[tuple[float | None, float]]) -> float:
+    """The order-dependent mean in which an unknown value's weight counts as the mean so far."""
+    mean, total = 0.0, 0.0
+    for value, weight in items:
+        total += weight
+        if value is not None and total:
+            mean += (value - mean) * weight / total
+    return mean
+
+
+def clip_starts(length: int, window: int = 20, stride: int = 20, batch: int = 1, compat: bool = False) -> list[int]:
+    """First seconds of the clips of a recording; ``compat``: within a batch clips step by the window, not the stride."""
+    count = (length - window) // stride + 1 if length >= window else 0
+    if not compat or batch <= 1:
+        return [c * stride for c in range(count)]
+    return [(c // batch) * batch * stride + (c % batch) * window for c in range(count)]

@@ -18,6 +18,8 @@ from tidecurve.operators import distances as D
 from tidecurve.shared import cut
 
 Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Curves whose spanning tree the driver takes, 24 bytes an edge; the distances it comes from are 10**13 then.
+MOST_NODES = 5_000_000
 
 
 def envelope_bound(r: int) -> Measure:
@@ -153,9 +155,17 @@ def _components(part: DataFrame, links: DataFrame) -> DataFrame:
             return part.join(label, "part").select("node", F.col("to").alias("part"))
 
 
+def _tree_edges(tree: DataFrame) -> list[tuple]:
+    """The tree's edges ``(d, a, b)`` in order, after a check of their number."""
+    kept = cut(tree, "tree")
+    if kept.count() >= MOST_NODES:
+        raise ValueError(f"a hierarchy over more than {MOST_NODES} curves")
+    return [(r["d"], r["a"], r["b"]) for r in kept.orderBy("d", "a", "b").collect()]
+
+
 def single_linkage(edges: DataFrame) -> DataFrame:
     """Merges ``(step, left, right, height, size)`` in order of height; new clusters are n, n + 1, ..."""
-    tree = sorted((r["d"], r["a"], r["b"]) for r in spanning_tree(edges).collect())
+    tree = _tree_edges(spanning_tree(edges))
     nodes = sorted({x for _, a, b in tree for x in (a, b)})
     index, size = {x: i for i, x in enumerate(nodes)}, [1] * len(nodes)
     parent = list(range(len(nodes)))
@@ -192,13 +202,43 @@ def mutual_reachability(edges: DataFrame, core: DataFrame) -> DataFrame:
 def hdbscan(edges: DataFrame, min_cluster_size: int = 5, min_samples: int = 5) -> DataFrame:
     """``(node, cluster)``, -1 for noise: spanning tree of mutual reachability, condensed, most stable clusters."""
     reach = mutual_reachability(edges, core_distance(D.mirrored(edges), min_samples))
-    tree = sorted((r["d"], r["a"], r["b"]) for r in spanning_tree(reach).collect())
+    tree = _tree_edges(spanning_tree(reach))
     nodes = sorted({x for _, a, b in tree for x in (a, b)})
     labels = _condense(nodes, tree, min_cluster_size)
     kind = edges.schema["a"].dataType.simpleString()
     return edges.sparkSession.createDataFrame([(x, c) for x, c in zip(nodes, labels)], f"node {kind}, cluster int")
 
 
+def sizes_by_method(own: DataFrame, edges: DataFrame, methods: str, ks: str, r: int, iterations: int = 5) -> DataFrame:
+    """``(method, k, cluster, n)`` for every method of a comma-separated list and every k of another.
+
+    The distance matrix serves whichever method needs one.  Hierarchical
+    clusters are the parts left when the k - 1 highest merges are undone.
+    """
+    kept, out, tree = cut(edges, "methods"), [], None
+    for method in (m.strip() for m in methods.split(",")):
+        for k in [int(v) for v in ks.split(",")] if method != "hdbscan" else [0]:
+            if method == "kmeans":
+                labels = kmeans(own, k, iterations, envelope_bound(r)).select("cluster")
+            elif method == "kmedoids":
+                labels = kmedoids(kept, k).select("cluster")
+            elif method == "hierarchical":
+                tree = tree if tree is not None else cut(spanning_tree(D.correlation_distance(own)), "methods-tree")
+                nodes = tree.select("a").union(tree.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("part"))
+                highest = tree.orderBy(F.desc("d"), F.desc("a"), F.desc("b")).limit(k - 1)
+                left = tree.join(highest.select("a", "b"), ["a", "b"], "left_anti")
+                labels = _components(nodes, left).select(F.col("part").alias("cluster"))
+            elif method == "hdbscan":
+                labels = hdbscan(kept, 4, 3).select("cluster")
+            else:
+                raise ValueError(f"unknown method {method!r}")
+            out.append(labels.groupBy(F.col("cluster").cast("bigint").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(method).alias("method"), F.lit(k).alias("k"), "cluster", "n"))
+    found = out[0]
+    for part in out[1:]:
+        found = found.unionByName(part)
+    return found
+
+
 def _condense(nodes: list, tree: list[tuple], least: int) -> list[int]:
     n = len(nodes)
     index = {x: i for i, x in enumerate(nodes)}
@@ -234,7 +274,7 @@ def _condense(nodes: list, tree: list[tuple], least: int) -> list[int]:
         return out
 
     # clusters: (birth, parent cluster); points fall out of a cluster or it splits in two large parts
-    birth, above, stability, members = [0.0], [-1], [0.0], [leaves(n + len(children) - 1)]
+    birth, above, stability, tops = [0.0], [-1], [0.0], [n + len(children) - 1]
     work = [(n + len(children) - 1, 0)]
     while work:
         node, cluster = work.pop()
@@ -249,24 +289,25 @@ def _condense(nodes: list, tree: list[tuple], least: int) -> list[int]:
                 birth.append(level)
                 above.append(cluster)
                 stability.append(0.0)
-                members.append(leaves(c))
+                tops.append(c)
                 work.append((c, len(birth) - 1))
         else:
             stability[cluster] += (level - birth[cluster]) * sum(size[c] for c in (left, right) if size[c] < least)
             work += [(c, cluster) for c in big]
-    value, keep = list(stability), [True] * len(birth)
+    value, keep, below = list(stability), [True] * len(birth), [[] for _ in birth]
+    for k, c in enumerate(above):
+        if c >= 0:
+            below[c].append(k)
     for c in range(len(birth) - 1, -1, -1):
-        own = [k for k in range(len(birth)) if above[k] == c]
+        own = below[c]
         if own and (c == 0 or sum(value[k] for k in own) > stability[c]):
             keep[c], value[c] = False, sum(value[k] for k in own)
     labels, number = [-1] * n, 0
+    within = [False] * len(birth)  # lies in a kept cluster; parents come before their children
     for c in range(len(birth)):
-        ancestors, up = False, above[c]
-        while up >= 0:
-            ancestors |= keep[up]
-            up = above[up]
-        if keep[c] and not ancestors and c:
-            for v in members[c]:
+        within[c] = above[c] >= 0 and (within[above[c]] or keep[above[c]])
+        if keep[c] and not within[c] and c:
+            for v in leaves(tops[c]):
                 labels[v] = number
             number += 1
     return labels

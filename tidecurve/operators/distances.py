@@ -1,8 +1,9 @@
 """Distances between curves: envelope lower bound, warping family, correlation; and pairing curves up.
 
-Pairs are formed over blocks: each curve is sent once per block row and
-column and meets the others of its block pair in an equi-join, so no task
-holds more than two blocks and nothing is a Cartesian product of the cluster.
+Curves are dealt to blocks, as many as the number of curves and of tasks asks
+for.  A curve is sent once to each pair of blocks that has its own, and one
+task measures a pair of blocks as matrices; so no task holds more than two
+blocks, and what keeps only the nearest keeps them there already.
 """
 
 from __future__ import annotations
@@ -15,16 +16,29 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidecurve.operators import series as S
+from tidecurve.shared import cut, tasks
 
-BLOCKS = 8
+#: Curves of a block at most, and rows of a matrix measured at a time.
+BLOCK_ROWS, STRIP = 2048, 64
 
 
-def pairs(arrays: DataFrame, blocks: int = BLOCKS, columns: tuple[str, ...] = ("y",)) -> DataFrame:
-    """Every unordered pair once, ``a < b`` by ``series_id``: ``(a, b, <c>_a, <c>_b ...)``."""
+def block_count(n: int, workers: int) -> int:
+    """Blocks for ``n`` curves: a few pairs of blocks for every task, and none over ``BLOCK_ROWS`` curves."""
+    return max(1, min(n, math.ceil(math.sqrt(4 * workers))), math.ceil(n / BLOCK_ROWS))
+
+
+def _dealt(arrays: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Each row once for every pair of blocks ``(low, high)`` that has its own ``block``."""
+    own = cut(arrays.select("series_id", *columns), "pairs")
+    blocks = block_count(own.count(), tasks(arrays.sparkSession))
     block = F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int")
-    low = F.least("block", "other").alias("low")
-    high = F.greatest("block", "other").alias("high")
-    sent = arrays.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("series_id", *columns, "block", low, high)
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    return own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("series_id", *columns, "block", low, high)
+
+
+def pairs(arrays: DataFrame, columns: tuple[str, ...] = ("y",)) -> DataFrame:
+    """Every unordered pair once, ``a < b`` by ``series_id``: ``(a, b, <c>_a, <c>_b ...)``."""
+    sent = _dealt(arrays, columns)
     x = sent.select("low", "high", F.col("block").alias("block_a"), F.col("series_id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
     y = sent.select("low", "high", F.col("block").alias("block_b"), F.col("series_id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
     # two curves of one block share every block pair that has it; they meet in (block, block)
@@ -32,6 +46,46 @@ def pairs(arrays: DataFrame, blocks: int = BLOCKS, columns: tuple[str, ...] = ("
     return met.drop("low", "high", "block_a", "block_b")
 
 
+#: (n, L) and (m, L) curves to the (n, m) distances of each of the first, as a, to each of the second, as b.
+Matrix = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def measured(arrays: DataFrame, matrix: Matrix, nearest: int | None = None, both_ways: bool = False) -> DataFrame:
+    """``(a, b, d)`` of every pair a < b by block matrices; curves must be of one length.
+
+    ``nearest``: only the so many smallest ``(d, b)`` of each a that a pair of
+    blocks has; the nearest of all are among them.  ``both_ways``: the pair is
+    also given as (b, a), at the same distance, before the nearest are taken.
+    """
+    kind = arrays.schema["series_id"].dataType.simpleString()
+    sent = _dealt(arrays, ("y",))
+
+    def measure(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("series_id", ignore_index=True)
+        ids, block, low = group["series_id"].to_numpy(), group["block"].to_numpy(), int(group["low"].iloc[0])
+        curves = np.stack([np.asarray(y, float) for y in group["y"]])
+        x, y = np.flatnonzero(block == low), np.flatnonzero(block == int(group["high"].iloc[0]))
+        parts = []
+        for rows, columns in ((x, y),) if low == group["high"].iloc[0] else ((x, y), (y, x)):
+            for at in range(0, len(rows), STRIP):
+                own = rows[at : at + STRIP]
+                d = matrix(curves[own], curves[columns])
+                i, j = np.nonzero(own[:, None] < columns[None])
+                parts.append((own[i], columns[j], d[i, j]))
+        a, b, d = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        if both_ways:
+            a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        if nearest is not None and len(a):
+            order = np.lexsort((b, d, a))
+            a, b, d = a[order], b[order], d[order]
+            first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            kept = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < nearest
+            a, b, d = a[kept], b[kept], d[kept]
+        return pd.DataFrame({"a": ids[a], "b": ids[b], "d": d})
+
+    return sent.groupBy("low", "high").applyInPandas(measure, f"a {kind}, b {kind}, d double")
+
+
 def envelope(y: str | Column, r: int) -> tuple[Column, Column]:
     """Lower and upper envelope: over positions k-r up to k+r, the last left out."""
     y = F.col(y) if isinstance(y, str) else y
@@ -48,13 +102,27 @@ def lb_keogh(y: str | Column, lower: str | Column, upper: str | Column) -> Colum
     return F.sqrt(F.aggregate(both, F.lit(0.0), lambda s, v: s + v))
 
 
-def distance_matrix(arrays: DataFrame, r: int, blocks: int = BLOCKS) -> DataFrame:
+def lb_matrix(r: int) -> Matrix:
+    """The bound of a against the envelope of b."""
+
+    def matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n = y.shape[1]
+        at = [(max(0, k - r), min(n, k + r)) for k in range(n)]
+        lo, up = np.stack([y[:, s:e].min(1) for s, e in at], 1), np.stack([y[:, s:e].max(1) for s, e in at], 1)
+        total = np.zeros((len(x), len(y)))
+        for k in range(n):
+            v = x[:, k, None]
+            total += np.fmax(np.fmax(v - up[None, :, k], lo[None, :, k] - v), 0) ** 2  # a gap in a curve exceeds nothing
+        return np.sqrt(total)
+
+    return matrix
+
+
+def distance_matrix(arrays: DataFrame, r: int, nearest: int | None = None, both_ways: bool = False) -> DataFrame:
     """``(a, b, d)`` for a < b: the bound of a against the envelope of b.  Radius 0 is an error."""
     if r < 1:
         raise ValueError("the envelope radius must be at least 1")
-    lower, upper = envelope("y", r)
-    own = S.settled(arrays.select("series_id", "y"), lo=lower, up=upper)
-    return pairs(own, blocks, ("y", "lo", "up")).select("a", "b", lb_keogh("y_a", "lo_b", "up_b").alias("d"))
+    return measured(arrays, lb_matrix(r), nearest, both_ways)
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -91,8 +159,12 @@ def dtw_squared(a: np.ndarray, b: np.ndarray, w: int | None = None) -> float:
     return float(before[m])
 
 
-def dtw(a: np.ndarray, b: np.ndarray, w: int | None = None) -> float:
-    return math.sqrt(dtw_squared(a, b, w))
+def dtw(a: np.ndarray, b: np.ndarray, w: int | None = None, unreachable: str = "inf") -> float:
+    """Root of ``dtw_squared``.  ``unreachable`` "raise": an unreachable last cell is an error and not infinite."""
+    found = dtw_squared(a, b, w)
+    if unreachable == "raise" and math.isinf(found):
+        raise ValueError(f"a band of {w} does not reach the last cell of curves of {len(a)} and {len(b)} points")
+    return math.sqrt(found)
 
 
 def fast_dtw(a: np.ndarray, b: np.ndarray, radius: int = 1) -> float:
@@ -220,7 +292,7 @@ Distance = Callable[[np.ndarray, np.ndarray], float]
 Distances = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def pairwise(arrays: DataFrame, distance: Distance, blocks: int = BLOCKS, many: Distances | None = None) -> DataFrame:
+def pairwise(arrays: DataFrame, distance: Distance, many: Distances | None = None) -> DataFrame:
     """``(a, b, d)`` by a Python distance over Arrow batches of blocked pairs.
 
     ``many`` measures the rows of two matrices at once and takes the place of
@@ -228,16 +300,16 @@ def pairwise(arrays: DataFrame, distance: Distance, blocks: int = BLOCKS, many:
     """
 
     @F.pandas_udf("double")
-    def measured(x: pd.Series, y: pd.Series) -> pd.Series:
+    def by_rows(x: pd.Series, y: pd.Series) -> pd.Series:
         if many and len(x) and len({*map(len, x)} | {*map(len, y)}) == 1:
             return pd.Series(many(np.stack(x.to_list()).astype(float), np.stack(y.to_list()).astype(float)))
         return pd.Series([distance(np.asarray(p, float), np.asarray(q, float)) for p, q in zip(x, y)], dtype=float)
 
-    return pairs(arrays, blocks).select("a", "b", measured("y_a", "y_b").alias("d"))
+    return pairs(arrays).select("a", "b", by_rows("y_a", "y_b").alias("d"))
 
 
-def correlation_distance(arrays: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """1 - Pearson correlation of curves of equal length."""
+def correlation_distance(arrays: DataFrame) -> DataFrame:
+    """1 - Pearson correlation of curves of equal length; null where one is flat."""
     unit = S.znorm(arrays.select("series_id", "y")).select("series_id", "y")
-    cross = F.aggregate(F.zip_with("y_a", "y_b", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return pairs(unit, blocks).select("a", "b", (1 - cross / F.size("y_a")).alias("d"))
+    found = measured(unit, lambda x, y: 1 - x @ y.T / x.shape[1])
+    return found.withColumn("d", F.when(~F.isnan("d"), F.col("d")))

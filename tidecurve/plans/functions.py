@@ -27,15 +27,18 @@ def _sentences(documents):
     return s.select("doc_id", chars.alias("chars"), F.size("s").alias("n"), F.element_at("s", 1).alias("first_sentence"), F.element_at("s", -1).alias("last_sentence"))
 
 
-_LEX = "(values ('warm', 1), ('gentle', 1), ('golden', 1), ('cold', -1), ('lost', -1), ('bitter', -1)) l(word, pol)"
+_LEX = "(select word, sign(round(sum(sentiment), 6)) as pol from (select sentiment, unnest(string_split(concept, '_')) as word from concepts) group by 1) l"
 
 
-@query("sentence_polarity", f"select doc_id, count(*) filter (pol > 0) as pos, count(*) filter (pol < 0) as neg from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) t join {_LEX} on t.w = l.word group by 1")
+@query("sentence_polarity", f"select doc_id, count(*) filter (pol > 0) as pos, count(*) filter (pol < 0) as neg from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) as w from documents) t join {_LEX} on t.w = l.word where pol <> 0 group by 1")
 def sentence_polarity(spark, d):
+    """Positive and negative words of each text by a lexicon: the words of the concepts, with the sign of their summed sentiment."""
+    parts = table(spark, d, "concepts").select("sentiment", F.explode(F.split("concept", "_")).alias("w"))
+    lexicon = parts.groupBy("w").agg(F.signum(F.round(F.sum("sentiment"), 6)).alias("pol")).where("pol != 0")
     words = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
-    lexicon = F.create_map(*[F.lit(x) for p in (("warm", 1), ("gentle", 1), ("golden", 1), ("cold", -1), ("lost", -1), ("bitter", -1)) for x in p])
-    scored = words.withColumn("pol", lexicon[F.col("w")]).where("pol is not null")
-    return scored.groupBy("doc_id").agg(F.count_if(F.col("pol") > 0).alias("pos"), F.count_if(F.col("pol") < 0).alias("neg"))
+    counted = words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))  # a word once per text before it meets the lexicon
+    scored = counted.join(lexicon, "w")
+    return scored.groupBy("doc_id").agg(F.sum(F.when(F.col("pol") > 0, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("pol") < 0, F.col("n")).otherwise(0)).alias("neg"))
 
 
 _SEC = "floor(duration * 17)::bigint"

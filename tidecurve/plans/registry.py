@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidecurve.plans import base, compaction
-from tidecurve.plans import functions, relational, signals  # noqa: F401  (they register their queries)
+from tidecurve.plans import functions, relational, signals, sources  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

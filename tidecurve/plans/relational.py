@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tidecurve.functions import labels as L, text as X
 from tidecurve.plans.base import query
+from tidecurve.shared import cut
 from tidecurve.sources.tables import table
 
 _W = Window.partitionBy
@@ -102,20 +104,31 @@ def batch_ids(spark, d):
     return _numbered(table(spark, d, "songs").select("track_id"), "track_id").select("track_id", F.expr("rn div 50").alias("batch"))
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """Global row numbers from 0 in key order, without one task seeing all rows.
+def _numbered(df: DataFrame, *order: str | Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """Row numbers ``rn`` from 0 in order, over all rows or ``within`` groups, without one task seeing a whole group.
 
-    A range partitioning orders the rows, counts per partition give each its
-    offset, and ranks are local.
+    A range partitioning orders the rows, counts per partition (and group) give
+    each its offset, and ranks are local; so a hot group is spread over as many
+    partitions as its size asks for.
     """
-    from tidecurve.shared import cut
-
-    placed = cut(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offset = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_offset", offset).drop("_n")  # one row per partition
-    local = F.row_number().over(_W("_part").orderBy(key)) - 1
-    return placed.withColumn("_local", local).join(F.broadcast(offsets), "_part").withColumn("rn", F.col("_local") + F.col("_offset")).drop("_part", "_local", "_offset")
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = cut(df.repartitionByRange(*[F.col(c) for c in within], *by).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy("_part", *within).agg(_count().alias("_n"))
+    before = Window.partitionBy(*(within or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")  # one row per partition and group
+    offsets = offsets.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_w{k}") for k, c in enumerate(within)], "_offset")
+    same = F.col("_part") == F.col("_p")
+    for k, c in enumerate(within):
+        same = same & F.col(c).eqNullSafe(F.col(f"_w{k}"))
+    local = F.row_number().over(Window.partitionBy("_part", *within).orderBy(*by)) - 1
+    numbered = placed.withColumn("_local", local).join(offsets, same).withColumn("rn", F.col("_local") + F.col("_offset"))
+    return numbered.drop("_part", "_local", "_offset", "_p", *[f"_w{k}" for k in range(len(within))])
+
+
+def _sized(df: DataFrame, group: str, size: str) -> DataFrame:
+    """Add the number of rows of each group, nulls being one; counted before the shuffle, joined by value."""
+    counts = df.groupBy(F.col(group).alias("_g")).agg(_count().alias(size))
+    return df.join(counts, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 @query("config_coalesce", "select o_orderkey, coalesce(case when o_orderkey % 3 = 0 then o_totalprice end, case when o_orderkey % 2 = 0 then 2.0::double end, 1.0::double) as value from orders")
@@ -139,7 +152,7 @@ def video_inventory(spark, d):
 # --- filters -------------------------------------------------------------------------------------------------------
 @query("neutral_filter", "select concept, sentiment from concepts where sentiment < -0.5 or sentiment > 0.5")
 def neutral_filter(spark, d):
-    return table(spark, d, "concepts").where(F.abs("sentiment") > 0.5).select("concept", "sentiment")
+    return table(spark, d, "concepts").where(L.not_neutral(F.col("sentiment"))).select("concept", "sentiment")
 
 
 @query("valence_class", "select l_orderkey, l_linenumber, v, case when v < 0.25 then 0 else 1 end as valence from (select l_orderkey, l_linenumber, l_discount * 10 as v from lineitem) where not (v > 0.25 and v < 0.75)")
@@ -161,7 +174,7 @@ _SPLIT = "case when rn < floor(n * 0.8::double) then 'train' when rn < floor(n *
 
 @query("split_positional", f"select rec_id, {_SPLIT} as part from (select rec_id, row_number() over (partition by bc order by rec_id) - 1 as rn, count(*) over (partition by bc) as n from tfrecords)")
 def split_positional(spark, d):
-    own = table(spark, d, "tfrecords").select("rec_id", (F.row_number().over(_W("bc").orderBy("rec_id")) - 1).alias("rn"), _count().over(_W("bc")).alias("n"))
+    own = _sized(_numbered(table(spark, d, "tfrecords").select("rec_id", "bc"), "rec_id", within=("bc",)), "bc", "n")
     return own.select("rec_id", L.split_positional(F.col("rn"), F.col("n")).alias("part"))
 
 
@@ -204,7 +217,14 @@ def good_bad_stats(spark, d):
 
 @query("truthy_filter", "select l_orderkey, l_linenumber, l_discount, l_tax from lineitem where l_discount <> 0 and l_tax <> 0")
 def truthy_filter(spark, d):
-    return table(spark, d, "lineitem").where("l_discount <> 0 and l_tax <> 0").select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    """Rows in which both are known; ``compat``, which also drops zeros, is what the SQL says."""
+    kept = L.present(F.col("l_discount"), F.col("l_tax"), compat=True)
+    return table(spark, d, "lineitem").where(kept).select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+
+
+@query("present_filter", "select l_orderkey, l_linenumber, l_discount, l_tax from lineitem where l_discount is not null and l_tax is not null")
+def present_filter(spark, d):
+    return table(spark, d, "lineitem").where(L.present(F.col("l_discount"), F.col("l_tax"))).select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
 
 
 @query("filter_below_mean_plus_std", "select event_id, value from events where value < (select avg(value) + stddev_samp(value) from events)")
@@ -229,8 +249,8 @@ def point_lookup(spark, d):
     where sent_biclass = 0 or (sent_biclass = 1 and rn <= pos // 2 + 1)""")
 def balance_classes(spark, d):
     own = table(spark, d, "tfrecords").select("rec_id", "sent_biclass")
-    positive = own.where("sent_biclass = 1")
-    kept = _numbered(positive, "rec_id").where(F.col("rn") <= positive.count() // 2).drop("rn")
+    positive = cut(_numbered(own.where("sent_biclass = 1"), "rec_id"), "balance")
+    kept = positive.where(F.col("rn") <= positive.count() // 2).drop("rn")
     return own.where("sent_biclass = 0").unionByName(kept)
 
 
@@ -275,26 +295,49 @@ _FUZZY = """with a as (select distinct p_name from part), scored as (select a.p_
     ranked as (select *, row_number() over (partition by p_name order by score desc, concept desc) as rank from scored)"""
 
 
-def _fuzzy(spark, d) -> DataFrame:
-    """Every part name scored against every concept; the concepts are a fixed list of a few hundred names.
+#: Names of one block of the other side that a name is compared with in one go.
+FUZZY_BLOCK = 2000
+
+
+def fuzzy_nearest(left: DataFrame, name: str, right: DataFrame, other: str, k: int, block: int = FUZZY_BLOCK) -> DataFrame:
+    """``(name, other, score, rank)``: the ``k`` most alike of ``right`` for every name of ``left``; ties by the later name.
 
-    The list travels as one array literal, so the comparison is an explode and
-    no join.
+    The smaller side comes as arrays of at most ``block`` names, one row each;
+    a name meets every array in an equi-join and keeps its ``k`` best of each
+    right there, so no pair leaves its row.  Any size of ``right`` will do.
     """
-    names = sorted(r[0] for r in table(spark, d, "concepts").select(F.translate("concept", "_", " ")).distinct().collect())
-    own = table(spark, d, "part").select("p_name").distinct().withColumn("concept", F.explode(F.array(*[F.lit(n) for n in names])))
-    scored = own.withColumn("score", X.ratio(F.col("p_name"), F.col("concept")))
-    return scored.withColumn("rank", F.row_number().over(_W("p_name").orderBy(F.desc("score"), F.desc("concept"))))
+    names = cut(right.select(F.col(other).alias("o")).where("o is not null").distinct(), "fuzzy")
+    blocks = max(1, -(-names.count() // block))
+    arrays = names.groupBy(F.pmod(F.xxhash64("o"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("o").alias("others"))
+    own = left.select(F.col(name).alias("n")).where("n is not null").distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    scored = F.transform("others", lambda o: F.struct(X.ratio(F.col("n"), o).alias("score"), o.alias("o")))
+    best = own.join(arrays, "block").select("n", F.explode(F.slice(F.sort_array(scored, asc=False), 1, k)).alias("m")).select("n", "m.*")
+    rank = F.row_number().over(_W("n").orderBy(F.desc("score"), F.desc("o")))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("n").alias(name), F.col("o").alias(other), "score", "rank")
+
+
+def _fuzzy(spark, d, k: int) -> DataFrame:
+    concepts = table(spark, d, "concepts").select(F.translate("concept", "_", " ").alias("concept"))
+    return fuzzy_nearest(table(spark, d, "part"), "p_name", concepts, "concept", k)
 
 
 @query("fuzzy_topk_join", f"{_FUZZY} select p_name, concept, score from ranked where rank = 1")
 def fuzzy_topk_join(spark, d):
-    return _fuzzy(spark, d).where("rank = 1").drop("rank")
+    return _fuzzy(spark, d, 1).drop("rank")
 
 
 @query("fuzzy_top10", f"{_FUZZY} select p_name, concept, score, rank::int as rank from ranked where rank <= 10")
 def fuzzy_top10(spark, d):
-    return _fuzzy(spark, d).where("rank <= 10")
+    return _fuzzy(spark, d, 10)
+
+
+@query("fuzzy_indel")
+def fuzzy_indel(spark, d):
+    """Each part name's most alike concept by the indel ratio, over the ten nearest by edit distance."""
+    ratio = F.pandas_udf(lambda a, b: pd.Series([round(X.indel_ratio(x, y), 4) for x, y in zip(a, b)]), "double")
+    scored = _fuzzy(spark, d, 10).select("p_name", "concept", ratio("p_name", "concept").alias("score"))
+    best = scored.groupBy("p_name").agg(F.max(F.struct("score", "concept")).alias("m"))
+    return best.select("p_name", F.col("m.concept").alias("concept"), F.col("m.score").alias("score"))
 
 
 @query("union_formats", "select 'songs' as fmt, track_id as id, title, null::varchar as album from songs union all select 'items', spotify_track_id, name, album from spotify_items")
@@ -333,7 +376,7 @@ def avg_item_mean_std(spark, d):
 
 @query("weighted_avg", "select l_returnflag, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) as mean from lineitem group by 1")
 def weighted_avg(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.sum(F.col("l_quantity") * F.col("l_discount")) / F.sum("l_quantity"), 6).alias("mean"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(L.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 6).alias("mean"))
 
 
 @query("channel_stats", "select label, channel, round(avg(m), 5) as mean, round(avg(s), 5) as std from (select vec_id, label, k % 3 as channel, avg(x) as m, stddev_pop(x) as s from (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as k from embeddings) group by 1, 2, 3) group by 1, 2")
@@ -450,12 +493,44 @@ def batch_tail_drop(spark, d):
     return _numbered(own, "rec_id").where(F.col("rn") < own.count() // 32 * 32).select("rec_id")
 
 
+@query("frame_at_position", """select v.series_id, v.i, f.file_id from (select user_id as series_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i from events) v
+    join (select file_id, row_number() over (order by try_cast(regexp_extract(file_name, '(\\d+)', 1) as bigint) nulls first, file_name, file_id) - 1 as i from frame_files) f on v.i = f.i""")
+def frame_at_position(spark, d):
+    """The frame at each position of a curve, frames in natural order of their names."""
+    own = table(spark, d, "frame_files").select("file_name", "file_id", _file_number().alias("number"))
+    frames = _numbered(own, F.col("number").asc_nulls_first(), "file_name", "file_id").select(F.col("rn").alias("i"), "file_id")
+    at = F.row_number().over(_W("user_id").orderBy("ts", "event_id")) - 1
+    curve = table(spark, d, "events").select(F.col("user_id").alias("series_id"), at.cast("bigint").alias("i"))
+    return curve.join(frames, "i").select("series_id", "i", "file_id")
+
+
+@query("column_subset", "select o_orderkey, o_orderdate, o_totalprice from orders")
+def column_subset(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+
+
+@query("whole_seconds", "select track_id, floor(duration * 1000)::bigint // 22050 as seconds from songs where duration is not null")
+def whole_seconds(spark, d):
+    """Samples over sample rate, divided as integers."""
+    return table(spark, d, "songs").where("duration is not null").select("track_id", F.expr("floor(duration * 1000) div 22050").alias("seconds"))
+
+
 # --- ordering and sets ---------------------------------------------------------------------------------------------
+def _file_number() -> Column:
+    """The first number in a file's name."""
+    return F.try_to_number(F.regexp_extract("file_name", r"(\d+)", 1), F.lit("999999999999")).cast("bigint")
+
+
 @query("natural_sort", "select dirpath, file_name, row_number() over (partition by dirpath order by try_cast(regexp_extract(file_name, '(\\d+)', 1) as bigint) nulls first, file_name, file_id) as pos, file_id from frame_files")
 def natural_sort(spark, d):
-    number = F.try_to_number(F.regexp_extract("file_name", r"(\d+)", 1), F.lit("999999999999")).cast("bigint")
-    pos = F.row_number().over(_W("dirpath").orderBy(number.asc_nulls_first(), "file_name", "file_id"))
-    return table(spark, d, "frame_files").select("dirpath", "file_name", "file_id", pos.alias("pos"))
+    own = table(spark, d, "frame_files").select("dirpath", "file_name", "file_id", _file_number().alias("number"))
+    numbered = _numbered(own, F.col("number").asc_nulls_first(), "file_name", "file_id", within=("dirpath",))
+    return numbered.select("dirpath", "file_name", "file_id", (F.col("rn") + 1).alias("pos"))
+
+
+@query("sorted_titles", "select title, row_number() over (order by title) - 1 as pos from (select distinct title from videopath where title is not null)")
+def sorted_titles(spark, d):
+    return _numbered(table(spark, d, "videopath").select("title").where("title is not null").distinct(), "title").select("title", F.col("rn").alias("pos"))
 
 
 @query("seeded_shuffle")

@@ -118,7 +118,7 @@ def adaptive_window(spark, d):
 @query("infer_window")
 def infer_window(spark, d):
     """Squared change of the smoothed curve from one window to the next, W = 3 to 12."""
-    base = _enough(spark, d, 12)
+    base = cut(_enough(spark, d, 12), "window-curves")
     smoothed = [S.smooth(base, w).select("series_id", F.lit(w).alias("w"), "y") for w in range(3, 13)]
     out = smoothed[0]
     for s in smoothed[1:]:
@@ -245,8 +245,8 @@ def pair_self_join(spark, d):
 _EDGES = lb_sql(PREPARED)
 
 
-def edges(spark, d) -> DataFrame:
-    return D.distance_matrix(prepared(spark, d), RADIUS)
+def edges(spark, d, **kept) -> DataFrame:
+    return D.distance_matrix(prepared(spark, d), RADIUS, **kept)
 
 
 @query("lb_keogh", f"select a, b, round(d, 4) as d from {lb_sql(PREPARED, 'e.series_id = x.series_id + 1')} z")
@@ -270,8 +270,7 @@ def matrix_mirror(spark, d):
 
 def _warped(spark, d, measure: D.Distance, many: D.Distances) -> DataFrame:
     """Every pair of curves once by a measure of the warping family."""
-    own = cut(prepared(spark, d).select("series_id", "y"), "warp")
-    return D.pairwise(own, measure, many=many).withColumn("d", F.round("d", 6))
+    return D.pairwise(prepared(spark, d).select("series_id", "y"), measure, many).withColumn("d", F.round("d", 6))
 
 
 @query("dtw_pairs")
@@ -357,7 +356,7 @@ def kmedoids(spark, d):
 
 
 _MEDOIDS = f"(select distinct series_id from {PREPARED} q order by 1 limit 4)"
-_FULL = f"full_ as (with e as (select * from {_EDGES} z) select a, b, d from e union all select b, a, d from e union all select distinct a, a, 0.0 from (select a from e union select b from e))"
+_FULL = f"full_ as materialized (with e as materialized (select * from {_EDGES} z) select a, b, d from e union all select b, a, d from e union all select distinct a, a, 0.0 from (select a from e union select b from e))"
 _MASSIGN = f"{_FULL}, near as (select a, b as cluster, d from (select *, row_number() over (partition by a order by d, b) as r from full_ where b in {_MEDOIDS}) where r = 1)"
 
 
@@ -412,6 +411,27 @@ def elbow_kmedoids(spark, d):
     return _elbow(lambda k: C.kmedoids(own, k))
 
 
+@query("medoid_mean_curve")
+def medoid_mean_curve(spark, d):
+    """Mean curve of each trained k-medoids cluster, named by its medoid."""
+    own = cut(prepared(spark, d).select("series_id", "y"), "medoid-curves")
+    clusters = C.kmedoids(D.distance_matrix(own, RADIUS), 4).select(F.col("a").alias("series_id"), "cluster")
+    return C.centroids(own.join(clusters, "series_id")).withColumn("value", F.round("value", 4))
+
+
+@query("centre_dists")
+def centre_dists(spark, d):
+    """Distance of each curve to the trained centre of its k-means cluster."""
+    return C.kmeans(prepared(spark, d), 4, 20, C.envelope_bound(RADIUS)).select("cluster", "series_id", F.round("dist", 4).alias("d"))
+
+
+@query("cluster_methods")
+def cluster_methods(spark, d):
+    """Cluster sizes by every method for every k of a list; hdbscan finds its own number, 0 here."""
+    own = cut(prepared(spark, d).select("series_id", "y"), "methods-curves")
+    return C.sizes_by_method(own, D.distance_matrix(own, RADIUS), "kmeans,kmedoids,hierarchical,hdbscan", "2,3", RADIUS)
+
+
 _GROUPS = f"(select series_id, case when series_id % 3 = 0 then 'even' when series_id % 3 = 1 then 'odd' else 'rest' end as grp from (select distinct series_id from {PREPARED} q))"
 
 
@@ -419,10 +439,12 @@ _GROUPS = f"(select series_id, case when series_id % 3 = 0 then 'even' when seri
     group by 1 having count(distinct e.a) + 1 > 5""")
 def group_coherence(spark, d):
     name = F.when(F.col("series_id") % 3 == 0, "even").when(F.col("series_id") % 3 == 1, "odd").otherwise("rest")
-    lower, upper = D.envelope("y", RADIUS)
-    own = prepared(spark, d).select("series_id", "y", lower.alias("lo"), upper.alias("up"), name.alias("grp"))
-    pairs = D.pairs(own, columns=("y", "lo", "up", "grp")).where("grp_a = grp_b").select(F.col("grp_a").alias("grp"), "a", D.lb_keogh("y_a", "lo_b", "up_b").alias("d"))
-    done = pairs.groupBy("grp").agg(F.round(F.avg("d"), 4).alias("coherence"), F.count(F.lit(1)).alias("pairs"), F.countDistinct("a").alias("members"))
+    done = None
+    own = cut(prepared(spark, d).select("series_id", "y", name.alias("grp")), "coherence")
+    for grp in ("even", "odd", "rest"):  # only pairs within a group are measured
+        found = D.distance_matrix(own.where(F.col("grp") == grp), RADIUS)
+        stats = found.agg(F.lit(grp).alias("grp"), F.round(F.avg("d"), 4).alias("coherence"), F.count(F.lit(1)).alias("pairs"), F.countDistinct("a").alias("members"))
+        done = stats if done is None else done.unionByName(stats)
     return done.where(F.col("members") + 1 > 5).drop("members")
 
 
@@ -438,7 +460,7 @@ def ts_dists(spark, d):
 @query("closest_topk", f"select a, b, round(d, 4) as d, rank::int as rank from (select *, row_number() over (partition by a order by d, b) as rank from {_EDGES} z) where rank <= 10")
 def closest_topk(spark, d):
     nth = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return edges(spark, d).withColumn("rank", nth).where("rank <= 10").withColumn("d", F.round("d", 4))
+    return edges(spark, d, nearest=10).withColumn("rank", nth).where("rank <= 10").withColumn("d", F.round("d", 4))
 
 
 @query("single_linkage")
@@ -448,14 +470,20 @@ def single_linkage(spark, d):
 
 @query("core_distance", f"with {_FULL} select a, round(d, 4) as core from (select *, row_number() over (partition by a order by d, b) as r from full_) where r = 5")
 def core_distance(spark, d):
-    return C.core_distance(D.mirrored(cut(edges(spark, d), "core-edges")), 5).withColumn("core", F.round("core", 4))
+    return _core(edges(spark, d, nearest=4, both_ways=True), 5).withColumn("core", F.round("core", 4))
+
+
+def _core(nearest: DataFrame, min_samples: int) -> DataFrame:
+    """Core distances from each curve's nearest others; the curve itself is the first neighbour."""
+    return C.core_distance(nearest, min_samples - 1)
 
 
 @query("mutual_reachability", f"""with {_FULL}, c as (select a, d as core from (select *, row_number() over (partition by a order by d, b) as r from full_) where r = 5)
     select f.a, f.b, round(greatest(f.d, x.core, y.core), 4) as d from full_ f join c x on x.a = f.a join c y on y.a = f.b where f.a < f.b""")
 def mutual_reachability(spark, d):
-    e = cut(edges(spark, d), "reach")
-    return C.mutual_reachability(e, C.core_distance(D.mirrored(e), 5)).withColumn("d", F.round("d", 4))
+    own = cut(prepared(spark, d).select("series_id", "y"), "reach")
+    core = cut(_core(D.distance_matrix(own, RADIUS, nearest=4, both_ways=True), 5), "reach-core")
+    return C.mutual_reachability(D.distance_matrix(own, RADIUS), core).withColumn("d", F.round("d", 4))
 
 
 @query("hdbscan")
@@ -468,12 +496,19 @@ def merge_extrema(spark, d):
     return P.merged(_extrema(spark, d, 10), 5)
 
 
+_MODALITIES = (("visual", ("view", "click")), ("audio", ("purchase", "signup")))
+
+
 def _extrema(spark, d, distance: int) -> DataFrame:
+    return _marked({m: cut(_modality(spark, d, *kinds), f"extrema-{m}") for m, kinds in _MODALITIES}, distance)
+
+
+def _marked(curves: dict[str, DataFrame], distance: int, mph: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """Peaks and valleys of every modality's written curves, ``(series_id, i, modality, kind)``."""
     out = None
-    for modality, kinds in (("visual", ("view", "click")), ("audio", ("purchase", "signup"))):
-        long = _modality(spark, d, *kinds)
-        for kind, valley in (("peak", False), ("valley", True)):
-            found = P.distant_peaks(P.peaks(long, None, valley=valley), distance, valley=valley)
+    for modality, long in curves.items():
+        for kind, valley, least in (("peak", False, mph[0]), ("valley", True, mph[1])):
+            found = P.distant_peaks(P.peaks(long, None, mph=least, valley=valley), distance, valley=valley)
             own = found.select("series_id", "i", F.lit(modality).alias("modality"), F.lit(kind).alias("kind"))
             out = own if out is None else out.unionByName(own)
     return out
@@ -482,27 +517,45 @@ def _extrema(spark, d, distance: int) -> DataFrame:
 @query("highlights")
 def highlights(spark, d):
     """Smooth, trim, range-normalise, find peaks and valleys of both modalities, merge, plan the clips."""
-    out = None
-    for modality, kinds in (("visual", ("view", "click")), ("audio", ("purchase", "signup"))):
+    curves = {}
+    for modality, kinds in _MODALITIES:
         a = S.smooth(S.to_arrays(_modality(spark, d, *kinds)).where(F.size("y") > 10), 5)
         a = S.settled(a, y=F.slice("y", F.lit(3), F.greatest(F.size("y") - 4, F.lit(0))))
         a = S.settled(a, lo=F.array_min("y"), hi=F.array_max("y"))
-        long = S.to_long(a.withColumn("y", F.transform("y", lambda v: (v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)))))
-        for kind, valley, mph in (("peak", False, 0.85), ("valley", True, -0.15)):
-            found = P.distant_peaks(P.peaks(long, None, mph=mph, valley=valley), 4, valley=valley)
-            own = found.select("series_id", "i", F.lit(modality).alias("modality"), F.lit(kind).alias("kind"))
-            out = own if out is None else out.unionByName(own)
-    clips = P.merged(out, 3)
+        ranged = a.withColumn("y", F.transform("y", lambda v: (v - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))))
+        curves[modality] = cut(S.to_long(ranged), f"highlights-{modality}")
+    clips = P.merged(_marked(curves, 4, (0.85, -0.15)), 3)
     return clips.select("series_id", "pos", "tags", (300 + F.floor("pos") - 15).alias("start"), (300 + F.floor("pos") + 15).alias("end"))
 
 
 # --- serving -------------------------------------------------------------------------------------------------------
-@query("serve_pred", f"""with v as (select series_id, i, value, count(*) over (partition by series_id) as n from {SIGNAL} q where series_id = 7),
-    s as (select series_id, i, value from {smooth_sql(f'(select series_id, i, value from {SIGNAL} q where series_id = 7)', 9, 'hanning')} z)
-    select s.i::int as i, round(s.value, 6) as pos, round(0.04, 2)::double as std from s""")
+def serve(spark: SparkSession, d: str, series: int, visual_window: int, audio_window: int, credits: DataFrame | None = None) -> DataFrame:
+    """``(modality, i, value, std)`` of one series, each modality smoothed with its own window.
+
+    The visual curve has a constant band; the audio curve's band is the
+    deviation of its clips.  ``credits(series_id, credits_at)`` cuts the end.  A
+    modality shorter than its window is left as it is.
+    """
+    out = None
+    for (modality, kinds), window in zip(_MODALITIES, (visual_window, audio_window)):
+        a = S.to_arrays(_modality(spark, d, *kinds).where(F.col("series_id") == series))
+        a = S.credits_trim(a, credits) if credits is not None else a
+        smoothed = S.smooth(a.where(F.size("y") >= window), window).unionByName(a.where(F.size("y") < window))
+        std = F.lit(0.04) if modality == "visual" else F.coalesce(F.col("std"), F.lit(0.0))
+        own = S.to_long(S.mean_std(smoothed), "std").select(F.lit(modality).alias("modality"), "i", "value", std.alias("std"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _served_sql(modality: str, w: int, std: str) -> str:
+    source = f"(select series_id, i, value from {_VISUAL if modality == 'visual' else _AUDIO} m where series_id = 7)"
+    return f"""select '{modality}' as modality, i::int as i, round(value, 6) as value, round({std}, 6) as std from
+        (select i, value, stddev_pop(value) over () as s from {smooth_sql(source, w, 'hanning')} z)"""
+
+
+@query("serve_pred", f"{_served_sql('visual', 9, '0.04::double')} union all {_served_sql('audio', 5, 's')}")
 def serve_pred(spark, d):
-    own = S.smooth(arrays(spark, d).where("series_id = 7 and size(y) >= 9"), 9)
-    return S.to_long(own).select("i", F.round("value", 6).alias("pos"), F.lit(0.04).alias("std"))
+    return serve(spark, d, 7, 9, 5).withColumn("value", F.round("value", 6)).withColumn("std", F.round("std", 6))
 
 
 @query("serve_shape", f"""select series_id, count(*) as points, round(min(value), 6) as low, round(max(value), 6) as high from {smooth_sql(LONG_ENOUGH, 9, 'hanning')} z group by 1""")
