@@ -430,15 +430,22 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
+def _through(log: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Log of the (n, labels) potentials summed through a matrix of weights."""
+    top = log.max(1, keepdims=True)
+    return top + np.log(np.exp(log - top) @ weights)
+
+
 def _chain_beliefs(nodes: np.ndarray, chain: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Log beliefs of (windows, steps, labels) chains of the given lengths."""
     n, steps, k = nodes.shape
+    onward = np.exp(chain.astype(np.float64))
     ahead, back = np.zeros_like(nodes), np.zeros_like(nodes)
     ahead[:, 0] = nodes[:, 0]
     for t in range(1, steps):
-        ahead[:, t] = nodes[:, t] + _logsum(ahead[:, t - 1, :, None] + chain, 1)
+        ahead[:, t] = nodes[:, t] + _through(ahead[:, t - 1], onward)
     for t in range(steps - 2, -1, -1):
-        following = _logsum((nodes[:, t + 1] + back[:, t + 1])[:, None, :] + chain, 2)
+        following = _through(nodes[:, t + 1] + back[:, t + 1], onward.T)
         back[:, t] = np.where((t + 1 < length)[:, None], following, 0)
     beliefs = ahead + back
     return beliefs - _logsum(beliefs, 2)[:, :, None]
@@ -482,7 +489,7 @@ def _predicted(model: Model, laid: Laid) -> tuple[np.ndarray, np.ndarray]:
 def _beliefs(model: Model, laid: Laid, scores: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Log beliefs after loopy message passing: exact along each window, messages along the skip links, until they rest."""
     u, v, kind = laid.links.T if len(laid.links) else np.zeros((3, 0), np.int64)
-    chain, share = model.chain + _NEVER, model.skips[kind][:, None, None] * _AGREE
+    chain, share = model.chain + _NEVER, np.expm1(model.skips[kind].astype(np.float64))[:, None]
     to_v, to_u = np.zeros((len(u), COUNT), np.float32), np.zeros((len(u), COUNT), np.float32)
     length = windows[:, 1] - windows[:, 0]
     beliefs = scores.copy()
@@ -523,8 +530,10 @@ def _beliefs(model: Model, laid: Laid, scores: np.ndarray, windows: np.ndarray)
 
 
 def _message(cavity: np.ndarray, share: np.ndarray) -> np.ndarray:
-    out = _logsum(cavity[:, :, None] + share, 1)
-    return (out - _logsum(out, 1)[:, None]).astype(np.float32)
+    """What one end's beliefs say to the other: all labels alike, and ``share`` more for one that agrees."""
+    p = np.exp(cavity - cavity.max(1, keepdims=True))
+    out = p.sum(1, keepdims=True) + share * (p @ _AGREE)
+    return np.log(out / out.sum(1, keepdims=True)).astype(np.float32)
 
 
 def entities(model: Model, tokens: Tokens, labels: np.ndarray) -> list[tuple[int, int, str]]:
