@@ -100,3 +100,26 @@ def test_melgram_hears_the_whole_curve(spark, tmp_path):
     got = {r["series_id"]: r for r in melgram(spark, str(tmp_path)).collect()}
     assert {k: r["frames"] for k, r in got.items()} == {1: 1 + points // 256, 2: 9}
     assert got[1]["level"] > -100  # silence up to point 2048, sound after it
+
+
+def test_augmented_crops():
+    a = np.arange(10 * 6 * 3, dtype=np.uint8).reshape(10, 6, 3)
+    seen = {I.augment(a, 8, 4, np.random.default_rng(k)).tobytes() for k in range(60)}
+    views = {v[y : y + 8, x : x + 4][:, ::f].tobytes() for v in (a,) for y in range(3) for x in range(3) for f in (1, -1)}
+    assert seen <= views and len(seen) > 10
+    padded = I.augment(a, 12, 6, np.random.default_rng(0), flip=False)
+    assert padded.shape == (12, 6, 3) and not padded[[0, -1]].any() and (padded[1:-1] == a).all()
+
+
+def test_jpeg_headers():
+    head = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x10\x00\x10"
+    assert I.jpeg_channels(head + b"\x03" + bytes(9)) == 3 and I.jpeg_channels(head + b"\x01" + bytes(9)) == 1
+    assert I.jpeg_channels(b"PNG") is None and I.jpeg_channels(b"") is None and I.jpeg_channels(b"\xff\xd8") is None
+
+
+def test_settings():
+    from tidecurve.functions import settings
+
+    defaults = {"dan": {"emo": {"lr": 0.1, "epochs": None}}, "vgg": {"emo": {"lr": 0.2, "epochs": 20}}, "batch": 16}
+    assert settings.merged({"lr": None, "epochs": None, "batch": None, "x": None}, defaults, "dan", "emo") == {"lr": 0.1, "epochs": 20, "batch": 16, "x": None}
+    assert settings.merged({"lr": 3}, defaults, "dan", "emo") == {"lr": 3} and settings.inverted_ids("0,1,3") == "3,2,0"

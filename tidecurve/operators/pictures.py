@@ -92,3 +92,26 @@ def fit_length(x: str, n: int) -> Column:
     middle = F.slice(x, F.floor((size - n) / 2).cast("int") + 1, F.lit(n))
     padded = F.concat(F.col(x), F.array_repeat(F.lit(0.0), F.greatest(F.lit(n) - size, F.lit(0))))
     return F.when(size >= n, middle).otherwise(padded)
+
+
+def augment(a: np.ndarray, height: int, width: int, rng: np.random.Generator, flip: bool = True) -> np.ndarray:
+    """A random crop of (h, w, c), mirrored half of the time if ``flip``; a side too short is padded with black around the picture."""
+    h, w = a.shape[:2]
+    pad = [(max(0, n - m) // 2, max(0, n - m) - max(0, n - m) // 2) for m, n in ((h, height), (w, width))]
+    own = np.pad(a, [*pad, (0, 0)])
+    y, x = (int(rng.integers(0, m - n + 1)) for m, n in ((own.shape[0], height), (own.shape[1], width)))
+    cut = own[y : y + height, x : x + width]
+    return cut[:, ::-1] if flip and rng.random() < 0.5 else cut
+
+
+def jpeg_channels(content: bytes) -> int | None:
+    """Colour components that a JPEG file's frame header declares; None for bytes that are no JPEG."""
+    if content[:2] != b"\xff\xd8":
+        return None
+    at = 2
+    while at + 9 < len(content) and content[at] == 0xFF:
+        mark = content[at + 1]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            return content[at + 9]
+        at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None

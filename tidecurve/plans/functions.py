@@ -235,6 +235,13 @@ def scramble_blocks(spark, d):
     return I.scrambled(table(spark, d, "tfrecords"), "rec_id", I.scramble_blocks, 4).select("rec_id", F.md5("img").alias("digest"))
 
 
+@query("augment_crops")
+def augment_crops(spark, d):
+    """Crops of 12 x 12 of the training pictures, at random places, half of them mirrored; by a seed for each row."""
+    train = table(spark, d, "tfrecords").where("split = 'train'")
+    return I.scrambled(train, "rec_id", lambda a, side, rng: I.augment(a, side, side, rng), 12).select("rec_id", F.octet_length("img").alias("n_bytes"), F.md5("img").alias("digest"))
+
+
 @query("scramble_recursive")
 def scramble_recursive(spark, d):
     return I.scrambled(table(spark, d, "tfrecords"), "rec_id", I.scramble_recursive, 4).select("rec_id", F.md5("img").alias("digest"))

@@ -65,7 +65,7 @@ def valid_videos(files: DataFrame, needed: tuple[str, ...]) -> DataFrame:
     video = F.regexp_replace("dirpath", r"/(frames|preds)$", "")
     frame = F.col("dirpath").endswith("/frames") & (F.col("n_bytes") > 0)
     has = [F.bool_or(F.col("dirpath").endswith("/preds") & (F.col("file_name") == n)) for n in needed]
-    found = files.groupBy(video.alias("video")).agg(F.count_if(frame).alias("nframes"), F.every(F.lit(True)).alias("_all"), *[h.alias(f"_h{k}") for k, h in enumerate(has)])
+    found = files.groupBy(video.alias("video")).agg(F.count_if(frame).alias("nframes"), *[h.alias(f"_h{k}") for k, h in enumerate(has)])
     kept = F.col("nframes") > 0
     for k in range(len(needed)):
         kept = kept & F.col(f"_h{k}")
