@@ -59,13 +59,13 @@ def _unpack(column: pd.Series) -> np.ndarray:
     return H.unpack_form(flat)
 
 
-def _hash_rows(pictures: pd.Series, codes: np.ndarray, signatures: np.ndarray) -> pd.DataFrame:
-    """Rows (bucket, signature, turn, picture) of (n, turns, k) codes."""
+def _hash_rows(ids: pd.Series, codes: np.ndarray, signatures: np.ndarray) -> pd.DataFrame:
+    """Rows (bucket, signature, turn, id) of (n, turns, k) codes."""
     n, turns, k = codes.shape
     each = np.repeat(np.arange(n), turns * k)
     return pd.DataFrame({
         "bucket": codes.reshape(-1), "signature": np.repeat(signatures.reshape(-1), k),
-        "turn": np.tile(np.repeat(np.arange(turns, dtype=np.int32), k), n), "picture": pictures.to_numpy()[each],
+        "turn": np.tile(np.repeat(np.arange(turns, dtype=np.int32), k), n), "id": ids.to_numpy()[each],
     })
 
 
@@ -76,7 +76,7 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             forms = _unpack(part["form"])
             for variant in (0, 1):
                 codes, _, signatures = H.hashes(forms[:, variant], H.TURNS // 2)
-                yield _hash_rows(part["picture"], codes[:, :, None], signatures)
+                yield _hash_rows(part["id"], codes[:, :, None], signatures)
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,7 +86,7 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             forms = _unpack(part["form"])
             for variant in (0, 1):
                 _, probes, signatures = H.hashes(forms[:, variant], H.TURNS)
-                yield _hash_rows(part["picture"], probes, signatures)
+                yield _hash_rows(part["id"], probes, signatures)
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,27 +115,28 @@ def overlaps(df: DataFrame, key: str, img: str, height: str, width: str, train:
     named = rows.select("key", "train", F.unhex(F.md5(F.concat("img", F.concat_ws("x", "h", "w").cast("binary")))).alias("picture"), "h", "w", "img")
     kind = rows.schema["key"].dataType.simpleString()
     members = cut(named.mapInPandas(_forms, f"key {kind}, train boolean, picture binary, form binary"), "p1-forms")
-    pictures = cut(members.groupBy("picture", "train").agg(F.min("form").alias("form")), "p1-pictures")
-    shape = "bucket bigint, signature bigint, turn int, picture binary"
+    distinct = members.groupBy("picture", "train").agg(F.min("form").alias("form"))
+    pictures = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "p1-pictures")  # written, so the numbers stay
+    shape = "bucket bigint, signature bigint, turn int, id bigint"
     index = cut(pictures.where("train").mapInPandas(_index, shape), "p1-index")
     probes = pictures.where("not train").mapInPandas(_probe, shape)
     # how many salts a bucket is dealt to; only the few hot ones are listed
     hot = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("bucket", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
     index = index.join(hot, "bucket", "left").select(
-        "bucket", F.pmod(F.xxhash64("picture"), salts).cast("int").alias("salt"), F.col("signature").alias("signature_b"), F.col("turn").alias("turn_b"), F.col("picture").alias("picture_b"))
+        "bucket", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), F.col("signature").alias("signature_b"), F.col("turn").alias("turn_b"), F.col("id").alias("id_b"))
     probes = probes.join(hot, "bucket", "left").select(
-        "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "signature", "turn", F.col("picture").alias("picture_a"))
+        "bucket", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "signature", "turn", F.col("id").alias("id_a"))
     # both turned, they are close: so is the training picture to the other turned by the difference
     turn = (F.expr("turn div 4").cast("int") * 4 + F.pmod(F.col("turn") % 4 - F.col("turn_b"), F.lit(4))).alias("turn")
     near = (
         probes.join(index, ["bucket", "salt"])
         .where(F.bit_count(F.col("signature").bitwiseXOR(F.col("signature_b"))) <= APART)
-        .select("picture_a", "picture_b", turn).distinct()
+        .select("id_a", "id_b", turn).distinct()
     )
-    forms_a = pictures.where("not train").select(F.col("picture").alias("picture_a"), F.col("form").alias("form_a"))
-    forms_b = pictures.where("train").select(F.col("picture").alias("picture_b"), F.col("form").alias("form_b"))
-    compared = near.join(forms_a, "picture_a").join(forms_b, "picture_b").mapInPandas(_compare, "picture_a binary, picture_b binary, likeness double")
+    forms_a = pictures.where("not train").select(F.col("id").alias("id_a"), F.col("picture").alias("picture_a"), F.col("form").alias("form_a"))
+    forms_b = pictures.where("train").select(F.col("id").alias("id_b"), F.col("picture").alias("picture_b"), F.col("form").alias("form_b"))
+    compared = near.join(forms_a, "id_a").join(forms_b, "id_b").mapInPandas(_compare, "picture_a binary, picture_b binary, likeness double")
     same = compared.where(F.col("likeness") >= SAME).groupBy("picture_a", "picture_b").agg(F.max("likeness").alias("likeness"))
     return same, members.drop("form")
 
