@@ -13,8 +13,8 @@ equal as they are.
    or holds a single value;
 3. each bucket becomes one trie whose terminals carry the counters.
 
-Only the oversized buckets' prefixes visit the driver, at most
-``terminals / bucket_limit`` of them.
+The list of oversized buckets stays a table, and each round of cutting is
+written before the next, so no round repeats another's work.
 
 Defined results: a row with a null text field belongs to no record; null
 equals null in exact fields; an empty table gives an empty result; extra
@@ -133,32 +133,30 @@ def _shared_prefix(a: bytes, b: bytes) -> int:
     return n
 
 
+@F.pandas_udf(T.IntegerType())
+def _shared(lo: pd.Series, hi: pd.Series) -> pd.Series:
+    return pd.Series([_shared_prefix(bytes(a), bytes(b)) for a, b in zip(lo, hi)], dtype="int32")
+
+
 def radix_buckets(terminals: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Add ``bucket``, a prefix of ``bytes`` that at most ``limit`` terminals share.
 
     A bucket of one single value stays as it is, whatever its size: its
     terminals are already folded, one per local trie.
     """
-    spark = terminals.sparkSession
     bucketed = terminals.withColumn("bucket", F.expr("substring(bytes, 1, 1)"))
     while True:
         big = (
             bucketed.groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("n"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi"))
             .where((F.col("n") > limit) & (F.col("lo") != F.col("hi")))
-            .collect()
         )
-        cuts = [(bytes(r["bucket"]), _shared_prefix(bytes(r["lo"]), bytes(r["hi"])) + 1) for r in big]
         # a bucket whose shortest member ends where the others go on keeps that member's own bytes
-        cuts = [(prefix, n) for prefix, n in cuts if n > len(prefix)]
-        if not cuts:
+        deeper = cut(big.select("bucket", (_shared(F.col("lo"), F.col("hi")) + 1).alias("deeper")).where("deeper > octet_length(bucket)"), "p5-cuts")
+        if deeper.isEmpty():
             return bucketed
-        deeper = spark.createDataFrame(cuts, "bucket binary, deeper int")
-        bucketed = (
-            bucketed.join(F.broadcast(deeper), "bucket", "left")
-            .withColumn("bucket", F.expr("if(deeper is null, bucket, substring(bytes, 1, deeper))"))
-            .drop("deeper")
-        )
+        split = bucketed.join(deeper, "bucket", "left").withColumn("bucket", F.expr("if(deeper is null, bucket, substring(bytes, 1, deeper))"))
+        bucketed = cut(split.drop("deeper"), "p5-buckets")
 
 
 def canonical_rows(df: DataFrame, key: str, text: list[str], exact: list[str]) -> DataFrame:
