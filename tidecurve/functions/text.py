@@ -34,11 +34,12 @@ def sentences(text: Column) -> Column:
     terminators is drawn before them.  Each full stop is judged by the text as
     it stands, whatever was decided for its neighbours.
     """
-    behind = lambda p: f"(?<={p})" if p else ""
-    held = _any(rf"{behind(before)}\.{f'(?{chr(33) if negated else chr(61)}{after})' if after else ''}" for before, after, negated in HELD)
+    # the stop comes first in the patterns, so that nothing is tried where there is none
+    behind = lambda p: rf"(?<={p}\.)" if p else ""
+    held = r"\.(?:" + _any(behind(before) + (f"(?{'!' if negated else '='}{after})" if after else "") for before, after, negated in HELD) + ")"
     own = F.concat(F.lit(" "), F.translate(text, "\n", " "), F.lit("  "))
     own = F.regexp_replace(own, held, _HOLD)
-    own = F.regexp_replace(own, rf"(?<= (?:{_any(SUFFIXES)}))\.(?={_OPENS})", _END)
+    own = F.regexp_replace(own, rf"\.(?<= (?:{_any(SUFFIXES)})\.)(?={_OPENS})", _END)
     own = F.regexp_replace(own, r'(\?!?\.?|!\.?|\.)"', '"$1')
     parts = F.split(F.regexp_replace(own, r"[.?!]", f"$0{_END}"), _END)
     return F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.trim(F.translate(s, _HOLD, ".")))
