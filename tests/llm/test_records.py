@@ -1,6 +1,7 @@
 """Copies, samples, cross-split overlap and linkage: brute force and edge cases."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -238,6 +239,16 @@ def test_hot_attributes(spark, monkeypatch):
     assert edges_of(spark, songs, items) == plain and ("s7", "i99") in plain
 
 
+def test_linkage_leaves_only_its_last_round(spark):
+    from tidecurve import shared
+
+    root = Path(shared._own_dir(spark)[len("file://") :])
+    before = {*root.glob("p4-*")}
+    songs = [(f"s{k}", "Door", "Orla Quirenik", 100.0) for k in range(5)]
+    assert len(edges_of(spark, songs, [("i1", "Door", "Orla Quirenik", 100.0)])) == 5
+    assert [p.name.rpartition("-")[0] for p in {*root.glob("p4-*")} - before] == ["p4-round"]
+
+
 def test_nameless_items_keep_misspelt_copies(spark):
     songs = [
         ("s1", "Jealous Mirror", "Orla Quirenik", 200.0), ("s2", "Jaelous Mirror", "Orla Quirenik", 200.0), ("s3", "Jealus Mirror", "Orla Quirenki", 200.0), ("s4", "Jealous Mirrow", "The Rokpaken Moons", 200.0),

@@ -7,10 +7,10 @@
 2. the candidate graph joins records of the two sources that share an
    attribute, unless lengths or the titles' letter pairs already rule them out;
    an edge weighs the summed rarity of what it shares;
-3. meta-blocking drops an edge that is light beside the heaviest of both its
-   ends, unless the titles may be one typing error apart;
-4. every edge has a likeness of its own (title, performer, version, length).
-   Few are certain by it: where the performer or the length is missing, or two
+3. every edge has a likeness of its own (title, performer, version, length),
+   or is none; meta-blocking then drops one that is light beside the heaviest
+   of both its ends, unless the titles may be one typing error apart;
+4. few are certain by it: where the performer or the length is missing, or two
    errors meet, the edge starts below the threshold and its neighbours decide.
    Support comes from the other records of both performers, as the share of
    them that accepted edges link to each other, and from the rivals of the edge
@@ -19,7 +19,9 @@
 
 Equal records are one node each and come back by membership at the end, so a
 record holding a third of all rows costs no more than any other.  An attribute
-that many share is first divided by the performers' initials and then salted.
+that many share is first divided by parts of the performers' names, of which two
+performers that may be the same have one in common, and then salted; so the
+edges are the same with and without division.
 
 Defined results: a null or blank title or (in the keyed source) performer
 belongs to no case; a null length or performer in the other source is no
@@ -30,15 +32,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from tidecurve.llm import recordings as R
 from tidecurve.llm.hot import salted_join
-from tidecurve.shared import cut, tasks
+from tidecurve.shared import cut, drop, tasks
 
 #: Seconds by which lengths of one recording may differ, and the width of a bucket of lengths.
 TOLERANCE, WIDTH = 4.0, 8.0
@@ -48,15 +50,15 @@ SKETCH_APART = 8
 KNOWN_SHARE = 1e-4
 #: Two words this common are two words and no typing error, unless performer and length agree.
 COMMON = -math.log(5e-4)
-#: Records of one attribute from which on it is divided by initials, and that then meet in one task.
+#: Records of one attribute from which on it is divided by parts of names, and that then meet in one task.
 HOT = 500
+#: Parts of the attributes that meet one after another, so that the disk holds one part's exchange at a time.
+ROUNDS = 4
 PRUNE = 0.4
 ACCEPT = 0.78
 #: What full support adds to a score and none takes from it; the difference in score at which one rival is told from another.
 SUPPORT, RIVAL = 0.2, 0.03
 STILL = 0.005
-#: Classes of initials; a name of any other script has the last one.
-INITIALS = "abcdefghijklmnopqrstuvwxyz#?"
 
 
 def known_words(texts: DataFrame) -> dict[str, float]:
@@ -65,6 +67,7 @@ def known_words(texts: DataFrame) -> dict[str, float]:
     counted = cut(texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "p4-words")
     total = max(1, texts.count())
     rows = counted.where((F.col("n") >= max(3.0, KNOWN_SHARE * total)) & (F.col("w") != "")).collect()
+    drop(counted)
     return {r["w"]: math.log(total / r["n"]) for r in rows}
 
 
@@ -121,9 +124,19 @@ def sketch(reading: R.Reading) -> int | None:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def initials(reading: R.Reading) -> str:
-    """The classes of the performers' initials; empty where nobody is named."""
-    return "".join({w[0] if "a" <= w[0] <= "z" else "#" if w[0].isdigit() else "?" for w in reading.artist})
+@lru_cache(maxsize=50_000)
+def _name_parts(artist: tuple[str, ...], lead: tuple[str, ...], keyed: bool) -> list[int]:
+    texts = {w for w in (*artist, *lead) if len(w) > 1} | {"".join(artist), "".join(lead)} - {""}
+    parts = {p for t in texts for p in (_halves(t, keyed) if len(t) > 3 else {t})}
+    return sorted(xxhash.xxh64_intdigest(p) - (1 << 63) for p in parts)
+
+
+def name_parts(reading: R.Reading, keyed: bool) -> list[int]:
+    """Hashes of which performers have one in common wherever ``recordings.same_artist`` may hold; none where nobody is named.
+
+    It asks for a word or a joined name that is equal or, from four letters on, one typing error apart.
+    """
+    return _name_parts(tuple(reading.artist), tuple(reading.lead), keyed) if reading.artist else []
 
 
 def _members(df: DataFrame, key: str, title: str, artist: str, length: Column, where: str) -> DataFrame:
@@ -133,7 +146,7 @@ def _members(df: DataFrame, key: str, title: str, artist: str, length: Column, w
     return own.withColumn("node", node)
 
 
-_READ = "view bigint, node binary, length double, compact string, cut boolean, version string, sketch bigint, initials string, tokens array<string>, detail string, artist array<string>, lead array<string>, keys array<bigint>"
+_READ = "view bigint, node binary, length double, compact string, cut boolean, version string, sketch bigint, parts array<bigint>, tokens array<string>, detail string, artist array<string>, lead array<string>, keys array<bigint>"
 
 
 def _read(nodes: DataFrame, keyed: bool, by_name: bool) -> DataFrame:
@@ -146,43 +159,55 @@ def _read(nodes: DataFrame, keyed: bool, by_name: bool) -> DataFrame:
                 for t, a in ((title, artist), (artist, title)) if keyed else ((title, artist),):
                     r = R.read(t, a)
                     keys = [xxhash.xxh64_intdigest(k) - (1 << 63) for k in attributes(r, length, keyed, by_name)]
-                    out.append((node, length, r.compact, r.cut, r.version, sketch(r), initials(r), r.tokens, r.detail, r.artist, r.lead, keys))
+                    out.append((node, length, r.compact, r.cut, r.version, sketch(r), name_parts(r, keyed), r.tokens, r.detail, r.artist, r.lead, keys))
             names = [f.split()[0] for f in _READ.split(", ")[1:]]
             yield pd.DataFrame(out, columns=names).astype({"sketch": "Int64"})
 
     spread = nodes.repartition(tasks(nodes.sparkSession), "node")
     read = spread.mapInPandas(run, _READ.split(", ", 1)[1])
-    return cut(read.withColumn("view", F.monotonically_increasing_id()), f"p4-read-{keyed}")
+    return cut(read.withColumn("view", F.monotonically_increasing_id()), f"p4-read-{keyed}", compression="zstd")
 
 
 def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``(view_a, view_b)``: the pruned graph of readings that share an attribute."""
+    """``(view_a, view_b, weight)``: readings that share an attribute, unless their lengths or titles rule them out."""
+
     def rows(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{side}") for c in ("view", "length", "sketch", "initials")])
-
-    left, right = cut(rows(a, "a"), "p4-attributes"), rows(b, "b")
-    shared = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "p4-shared")
-    weight = F.log(1 + F.lit(float(max(1, a.count()))) / F.col("n"))
-    left = left.join(shared, "key").withColumn("weight", weight.cast("float")).drop("n")
-    hot = shared.where(F.col("n") > HOT).select("key", F.lit(True).alias("hot"))
-    if hot.isEmpty():
-        met = right.join(left, "key")
-    else:
-        # a hot attribute is divided by initials; who names nobody meets all of them
-        every = F.array(*[F.lit(c) for c in INITIALS])
-
-        def divided(df: DataFrame, side: str) -> DataFrame:
-            own = F.when(F.col("hot").isNull(), F.array(F.lit(""))).when(F.col(f"initials_{side}") == "", every).otherwise(F.split(f"initials_{side}", ""))
-            return df.join(hot, "key", "left").withColumn("part", F.explode(own)).withColumn("key", F.xxhash64("key", "part")).drop("hot", "part")
-
-        met = salted_join(divided(right, "b"), cut(divided(left, "a"), "p4-divided"), "key", "view_a", HOT)
+        size = F.when(~F.col("cut"), F.length("compact"))
+        return df.withColumn("size", size).select(F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_{side}") for c in ("view", "length", "sketch", "size")])
+
+    left, right = rows(a, "a"), rows(b, "b")
+    shared = cut(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(right.select("key").distinct(), "key", "left_semi"), "p4-shared")
+    weight = F.log(1 + F.lit(float(max(1, a.count()))) / F.col("n")).cast("float")
+    rare = shared.where(F.col("n") <= HOT).select("key", weight.alias("weight"))
+    hot = cut(shared.where(F.col("n") > HOT).select("key", weight.alias("weight")), "p4-hot")
     gap = F.abs(F.col("length_a") - F.col("length_b"))
     apart = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b")))
-    fits = F.coalesce(gap <= TOLERANCE, F.lit(True)) & F.coalesce(apart <= SKETCH_APART, F.lit(True))
-    edges = met.where(fits).groupBy("view_a", "view_b").agg(F.sum("weight").alias("weight"), F.first(apart).alias("apart"))
-    # both ends' heaviest; an edge whose titles may be one error apart stays anyway
-    lighter = F.least(*[F.max("weight").over(Window.partitionBy(v)) for v in ("view_a", "view_b")])
-    return edges.withColumn("at", lighter).where(F.col("apart").isNotNull() | (F.col("weight") >= PRUNE * F.col("at"))).select("view_a", "view_b")
+    # whole titles one error apart differ by one letter in length at most
+    fits = F.coalesce(gap <= TOLERANCE, F.lit(True)) & F.coalesce((apart <= SKETCH_APART) & (F.abs(F.col("size_a") - F.col("size_b")) <= 1), F.lit(True))
+    summed = lambda df, label: cut(df.groupBy("view_a", "view_b").agg(F.sum("weight").alias("weight")), label)
+    met = [] if hot.isEmpty() else [summed(_met_hot(a, b, left, right, hot).where(fits), "p4-hot-met")]
+    for k in range(ROUNDS):
+        of = lambda df: df.where(F.pmod("key", F.lit(ROUNDS)) == k)
+        met.append(summed(of(right).join(of(left).join(of(rare), "key"), "key").where(fits), "p4-met"))
+    found = summed(reduce(DataFrame.unionByName, met), "p4-candidates")
+    drop(shared, hot, *met)
+    return found
+
+
+def _met_hot(a: DataFrame, b: DataFrame, left: DataFrame, right: DataFrame, hot: DataFrame) -> DataFrame:
+    """Readings that share a hot attribute, each pair once for it: those with a part of a name in common, and whoever names nobody."""
+    own_a = cut(left.join(hot, "key").join(a.select(F.col("view").alias("view_a"), F.col("parts").alias("parts_a")), "view_a"), "p4-hot-a")
+    own_b = cut(right.join(hot.select("key"), "key", "left_semi").join(b.select(F.col("view").alias("view_b"), F.col("parts").alias("parts_b")), "view_b"), "p4-hot-b")
+    named = lambda df, side: df.where(F.size(f"parts_{side}") > 0)
+    nameless = lambda df, side: df.where(F.size(f"parts_{side}") == 0).drop(f"parts_{side}")
+    whole_a, whole_b = own_a.drop("parts_a"), own_b.drop("parts_b")
+    met = salted_join(nameless(own_b, "b"), whole_a, "key", "view_a", HOT)
+    met = met.unionByName(salted_join(named(own_b, "b").drop("parts_b"), nameless(own_a, "a"), "key", "view_a", HOT))
+    divided = lambda df, side: named(df, side).withColumn("part", F.explode(f"parts_{side}")).withColumn("key", F.xxhash64("key", "part"))
+    both = salted_join(divided(own_b, "b").drop("part"), divided(own_a, "a"), "key", "view_a", HOT)
+    # those with several parts in common meet at the least of them
+    least = F.array_min(F.array_intersect("parts_a", "parts_b")) == F.col("part")
+    return met.unionByName(both.where(least).drop("parts_a", "parts_b", "part"))
 
 
 def _near(x: Column, y: Column) -> Column:
@@ -206,14 +231,26 @@ def _likeness(pairs: DataFrame, rarity: dict[str, float]) -> DataFrame:
                 parts = zip(*(batch[f"{c}_{side}"] for c in kept))
                 readings.append([R.Reading(list(k), c, short, v, d, list(n), list(l), False) for c, short, v, d, k, n, l in parts])
             out = []
-            for na, nb, x, y, la, lb in zip(batch["node_a"], batch["node_b"], *readings, batch["length_a"], batch["length_b"]):
+            for at, (na, nb, x, y, la, lb) in enumerate(zip(batch["node_a"], batch["node_b"], *readings, batch["length_a"], batch["length_b"])):
                 gap = None if la is None or lb is None or la != la or lb != lb else abs(la - lb)
                 edge = edge_score(x, y, gap, known)
                 if edge:
-                    out.append((na, nb, *edge))
-            yield pd.DataFrame(out, columns=["node_a", "node_b", "own", "named", "x", "y"])
+                    out.append((at, na, nb, *edge))
+            found = pd.DataFrame(out, columns=["at", "node_a", "node_b", "own", "named", "x", "y"])
+            rows = batch[["view_a", "view_b", "weight", "whole"]].iloc[found.pop("at").astype(int)].reset_index(drop=True)
+            yield pd.concat([rows, found], axis=1)
+
+    return pairs.mapInPandas(run, "view_a bigint, view_b bigint, weight double, whole boolean, node_a binary, node_b binary, own double, named double, x string, y string")
+
 
-    return pairs.mapInPandas(run, "node_a binary, node_b binary, own double, named double, x string, y string")
+def _pruned(scored: DataFrame) -> DataFrame:
+    """``scored`` without edges of cut titles that are light beside the heaviest of both their ends."""
+    short = scored.where(~F.col("whole"))
+    for v in ("view_a", "view_b"):
+        heaviest = scored.groupBy(v).agg(F.max("weight").alias(f"most_{v}"))
+        short = short.join(heaviest, v)
+    kept = short.where(F.col("weight") >= PRUNE * F.least("most_view_a", "most_view_b"))
+    return scored.where("whole").unionByName(kept.select(scored.columns))
 
 
 def edge_score(x: R.Reading, y: R.Reading, gap: float | None, known) -> tuple[float, float | None, str, str] | None:
@@ -256,15 +293,24 @@ def graph(
     first = [F.first(c).alias(c) for c in ("title", "artist", "length")]
     nodes_a = cut(a.groupBy("node").agg(*first), "p4-a")
     by_name = not nodes_a.where("length is null or isnan(length)").isEmpty()
-    read_a, read_b = _read(nodes_a, True, by_name), _read(b.groupBy("node").agg(*first), False, by_name)
-    of = lambda df, side: df.drop("keys", "sketch", "initials").select(*[F.col(c).alias(f"{c}_{side}") for c in df.drop("keys", "sketch", "initials").columns])
-    pairs = candidates(read_a, read_b).join(of(read_a, "a"), "view_a").join(of(read_b, "b"), "view_b")
+    read_a = _read(nodes_a, True, by_name)
+    drop(nodes_a)
+    read_b = _read(b.groupBy("node").agg(*first), False, by_name)
+    found = candidates(read_a, read_b)
+    of = lambda df, side, *columns: df.select(*[F.col(c).alias(f"{c}_{side}") for c in ("view", *columns)])
+    # titles are compared before the rest of the readings is fetched
+    titles = found.join(of(read_a, "a", "compact", "cut"), "view_a").join(of(read_b, "b", "compact", "cut"), "view_b")
     whole = ~F.col("cut_a") & ~F.col("cut_b")
-    titled = pairs.where(~whole | _near(F.col("compact_a"), F.col("compact_b")))
+    titled = cut(titles.where(~whole | _near(F.col("compact_a"), F.col("compact_b"))).select("view_a", "view_b", "weight", whole.alias("whole")), "p4-titled")
+    drop(found)
+    rest = ("node", "length", "compact", "cut", "version", "detail", "tokens", "artist", "lead")
+    scored = cut(_likeness(titled.join(of(read_a, "a", *rest), "view_a").join(of(read_b, "b", *rest), "view_b"), rarity), "p4-scored")
+    drop(titled, read_a, read_b)
     # of a record's readings the best counts
     best = F.max(F.struct("own", "named", "x", "y"))
-    scored = _likeness(titled, rarity).groupBy("node_a", "node_b").agg(best.alias("e")).select("node_a", "node_b", "e.*")
-    return propagate(cut(scored, "p4-edges")), a, b
+    edges = cut(_pruned(scored).groupBy("node_a", "node_b").agg(best.alias("e")).select("node_a", "node_b", "e.*"), "p4-edges")
+    drop(scored)
+    return propagate(edges), a, b
 
 
 def propagate(scored: DataFrame) -> DataFrame:
@@ -281,7 +327,7 @@ def propagate(scored: DataFrame) -> DataFrame:
     names nobody by the second.  From the third round on steps are halved, so
     that edges which turn each other over come to rest.
     """
-    score, rounds = scored.withColumn("score", F.col("own")), 0
+    score, rounds, before = scored.withColumn("score", F.col("own")), 0, scored
     while True:
         rounds += 1
         step = 0.5 ** max(0, rounds - 2)
@@ -291,7 +337,8 @@ def propagate(scored: DataFrame) -> DataFrame:
         stepped = refined.select(*scored.columns, F.col("score").alias("before"), ((1 - step) * F.col("score") + step * target).alias("score"))
         after = cut(stepped, "p4-round")
         moved = after.agg(F.max(F.abs(F.col("score") - F.col("before")))).collect()[0][0]
-        score = after.drop("before")
+        drop(before)
+        score, before = after.drop("before"), after
         if moved is None or moved < STILL:
             return score
 
