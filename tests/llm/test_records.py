@@ -239,6 +239,24 @@ def test_hot_attributes(spark, monkeypatch):
     assert edges_of(spark, songs, items) == plain and ("s7", "i99") in plain
 
 
+def test_division_of_hot_attributes_leaves_the_edges(spark, monkeypatch):
+    """A performer misspelt in the first letter, cut titles, nameless items: the same edges whether attributes are hot or not."""
+    songs = [(f"s{k}", "Door" if k % 3 else "Door of Glass...", f"{c}uirenik", 100.0) for k, c in enumerate("QWRTZPSDFGH")] + [("s90", "Door", "Various Artists", 100.0)]
+    items = [("i0", "Door", "Quirenik", 100.0), ("i1", "Door", None, 100.5), ("i2", "Door of Glassware", "Wuirenik", 100.0), ("i3", "Door", "uirenik", None)]
+    plain = edges_of(spark, songs, items)
+    monkeypatch.setattr(linkage, "HOT", 3)
+    assert edges_of(spark, songs, items) == plain and ("s1", "i0") in plain and ("s90", "i0") in plain
+
+
+def test_name_parts_hold_every_performer_alike():
+    rng = random.Random(5)
+    for _ in range(4000):
+        names = [" ".join("".join(rng.choices("ab", k=rng.randint(1, 7))) for _ in range(rng.randint(1, 3))) for _ in "ab"]
+        a, b = (R.read("x", n) for n in names)
+        if R.same_artist(a, b)[0]:
+            assert {*linkage.name_parts(a, True)} & {*linkage.name_parts(b, False)}, names
+
+
 def test_linkage_leaves_only_its_last_round(spark):
     from tidecurve import shared
 
