@@ -186,6 +186,51 @@ def test_single_linkage_equals_brute_force(spark):
     assert got[-1]["size"] == 10
 
 
+@pytest.mark.parametrize("name", ["kmedoids_assign", "elbow_error", "medoid_update", "kmedoids", "elbow_kmedoids", "medoid_mean_curve", "single_linkage", "hdbscan", "cluster_methods"])
+def test_clusters_never_list_all_pairs(spark, sf, monkeypatch, name):
+    """What is not quadratic itself keeps no table of all pairs, which the disk would not hold."""
+    from tidecurve.plans import registry
+
+    listed = D.measured
+
+    def measured(arrays, matrix, nearest=None, both_ways=False):
+        assert nearest is not None
+        return listed(arrays, matrix, nearest, both_ways)
+
+    monkeypatch.setattr(D, "measured", measured)
+    assert registry.queries()[name](spark, sf).count()
+
+
+def small_blocks(monkeypatch):
+    for name, n in (("BLOCK_ROWS", 4), ("WIDE_ROWS", 4), ("TREE_ROWS", 4), ("STRIP", 2), ("CHUNK", 3)):
+        monkeypatch.setattr(D, name, n)
+
+
+def test_medoids_and_trees_equal_those_of_the_matrix(spark, monkeypatch):
+    """Curves with many equal distances, in blocks of 4: the same medoids, trees and core distances as from all edges."""
+    small_blocks(monkeypatch)
+    rng = np.random.default_rng(8)
+    df = frame(spark, *np.round(rng.normal(size=(23, 12)).cumsum(1)), *[np.arange(12.0)] * 4)
+    edges, matrix = D.distance_matrix(df, 2).cache(), D.lb_matrix(2)
+    of = lambda x: sorted(map(tuple, x.collect()))
+    assert len(of(edges)) == 27 * 26 // 2
+    many = of(C.kmedoids_of(df, [2, 3, 5], matrix))
+    for at, k in enumerate((2, 3, 5)):
+        assert [(r[0], r[1 + 3 * at + 1], pytest.approx(r[1 + 3 * at + 2])) for r in many] == of(C.kmedoids(edges, k))
+    assert of(C.spanning_tree(D.tree_edges(df, matrix))) == of(C.spanning_tree(edges))
+    core = C.core_distance(D.mirrored(edges), 4)
+    assert of(C.core_distance(D.measured(df, matrix, 3, True), 3)) == of(core)
+    assert of(C.spanning_tree(D.tree_edges(df.join(core.toDF("series_id", "core"), "series_id"), matrix, "core"))) == of(C.spanning_tree(C.mutual_reachability(edges, core)))
+
+
+def test_gaps_exceed_nothing_either_way():
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(7, 10)), rng.normal(size=(5, 10))
+    x[2, 3], y[1, 4], y[2] = np.nan, np.nan, np.nan
+    d = D.lb_matrix(2)(y)(x)
+    assert np.array_equal(d, np.concatenate([D.lb_matrix(2)(y)(x[k : k + 1]) for k in range(7)])) and np.isfinite(d).all() and not d[:, 2].any()
+
+
 def test_credits_trim_compat(spark):
     marks = spark.createDataFrame([(0, 0), (1, 2)], "series_id bigint, credits_at int")
     df = frame(spark, [1, 2, 3], [1, 2, 3], [1, 2, 3])

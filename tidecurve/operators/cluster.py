@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from tidecurve.operators import distances as D
-from tidecurve.shared import cut
+from tidecurve.shared import cut, drop
 
 Measure = Callable[[np.ndarray, np.ndarray], np.ndarray]
 #: Curves whose spanning tree the driver takes, 24 bytes an edge; the distances it comes from are 10**13 then.
@@ -121,6 +121,106 @@ def kmedoids(edges: DataFrame, k: int, rounds: int = 100, seed: int = 0) -> Data
     return medoid_assign(full, medoids)
 
 
+def nearest_medoids(curves: DataFrame, medoids: dict[int, dict[int, tuple]], matrix: D.Matrix) -> DataFrame:
+    """``(series_id, slot_<k>, medoid_<k>, d_<k> ...)``: the nearest of ``medoids[k] = {slot: (series_id, y)}``, smaller id on ties.
+
+    Of two curves that with the smaller id is measured against the other, so
+    distances are those of the matrix; a medoid has none to itself.
+    """
+    kind = curves.schema["series_id"].dataType.simpleString()
+    known = sorted({x: y for own in medoids.values() for x, y in own.values()}.items())
+    at = {x: i for i, (x, _) in enumerate(known)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centres = np.array([y for _, y in known], float)
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, x = batch["series_id"].to_numpy(), D.stacked(batch)
+            below, above = matrix(centres)(x), matrix(x)(centres).T
+            d = np.stack([np.where(ids < m, below[:, i], np.where(ids > m, above[:, i], 0.0)) for i, (m, _) in enumerate(known)], 1)
+            out = {"series_id": batch["series_id"]}
+            for k, own in medoids.items():
+                slots = sorted(own, key=lambda s: own[s][0])
+                columns = [at[own[s][0]] for s in slots]
+                best = d[:, columns].argmin(1)
+                out |= {f"slot_{k}": np.array(slots)[best], f"medoid_{k}": pd.Series([own[slots[i]][0] for i in best]), f"d_{k}": d[:, columns].min(1)}
+            yield pd.DataFrame(out)
+
+    return curves.select("series_id", "y").mapInPandas(run, f"series_id {kind}, " + ", ".join(f"slot_{k} int, medoid_{k} {kind}, d_{k} double" for k in medoids))
+
+
+def _quantum(curves: DataFrame) -> float:
+    """A power of two: sums of all distances of one curve, in steps of it, are exact in a double.
+
+    No distance exceeds the root of the length times the range of the points.
+    """
+    n, size, high = curves.agg(F.count(F.lit(1)), F.max(F.size("y")), F.max(F.array_max(F.transform("y", lambda v: F.abs(v))))).collect()[0]
+    most = 2 * (high or 0.0) * math.sqrt(max(1, size or 1)) * max(1, n)
+    return 2.0 ** (math.ceil(math.log2(most)) - 52) if most > 0 else 2.0**-52
+
+
+def best_medoids(labels: DataFrame, sums: DataFrame, slots: dict[int, list[int]]) -> dict[int, dict[int, object]]:
+    """Of every k and slot the member with the least sum of distances to the members; smaller id on ties."""
+    of = [F.struct(F.lit(k).alias("k"), F.col(f"slot_{k}").alias("slot"), F.array(*[F.col(f"w_{k}_{s}") if s in own else F.lit(None).cast("double") for s in range(max(own) + 1)])[F.col(f"slot_{k}")].alias("sum")) for k, own in slots.items()]
+    rows = labels.join(sums, "series_id").select("series_id", F.inline(F.array(*of)))
+    found: dict[int, dict[int, object]] = {k: {} for k in slots}
+    for r in rows.groupBy("k", "slot").agg(F.min(F.struct("sum", "series_id"))["series_id"].alias("medoid")).collect():
+        found[r["k"]][r["slot"]] = r["medoid"]
+    return found
+
+
+def trained_medoids(blocks: DataFrame, ks: list[int], matrix: D.Matrix, rounds: int = 100, seed: int = 0) -> dict[int, dict[int, tuple]]:
+    """``{k: {slot: (series_id, y)}}`` of the curves in ``distances.ranged`` blocks, without their matrix.
+
+    What the distances to every cluster add up to is kept for each curve, and
+    a round measures only the curves that changed clusters against all others.
+    """
+    drawn = blocks.orderBy(F.xxhash64(F.lit(seed), "series_id"), "series_id").limit(max(ks)).collect()
+    if len(drawn) < max(ks):
+        raise ValueError(f"{max(ks)} clusters of {len(drawn)} nodes")
+    medoids = {k: {s: (r["series_id"], r["y"]) for s, r in enumerate(sorted(drawn[:k], key=lambda r: r["series_id"]))} for k in ks}
+    quantum, names = _quantum(blocks), [f"w_{k}_{s}" for k in ks for s in range(k)]
+    labels = sums = None
+    for _ in range(rounds):
+        new = cut(nearest_medoids(blocks, medoids, matrix), "medoid-labels")
+        if labels is None:
+            moved = blocks.join(new, "series_id")
+        else:
+            was = labels.select("series_id", *[F.col(f"slot_{k}").alias(f"was_{k}") for k in ks])
+            moved = blocks.join(new, "series_id").join(was, "series_id")
+        weight = lambda k, s: (F.col(f"slot_{k}") == s).cast("double") - (0.0 if labels is None else (F.col(f"was_{k}") == s).cast("double"))
+        weighed = moved.select("series_id", "y", "block", *[weight(k, s).alias(f"w_{k}_{s}") for k in ks for s in range(k)])
+        change = D.weighed_sums(weighed, matrix, names, quantum)
+        if sums is not None:
+            change = change.unionByName(sums).groupBy("series_id").agg(*[F.sum(w).alias(w) for w in names])
+        total = cut(change, "medoid-sums")
+        if sums is not None:
+            drop(labels, sums)
+        labels, sums = new, total
+        best = best_medoids(labels, sums, {k: sorted(own) for k, own in medoids.items()})
+        if all({*best[k].values()} == {x for x, _ in medoids[k].values()} for k in ks):
+            break
+        curves = {r["series_id"]: r["y"] for r in blocks.where(F.col("series_id").isin([x for own in best.values() for x in own.values()])).collect()}
+        medoids = {k: {s: (x, curves[x]) for s, x in best[k].items()} for k in ks}
+    return medoids
+
+
+def updated_medoids(blocks: DataFrame, labels: DataFrame, k: int, matrix: D.Matrix) -> DataFrame:
+    """``(cluster, medoid)`` of ``nearest_medoids``: one step of ``trained_medoids``, without the matrix."""
+    own, names = cut(labels, "medoid-labels"), [f"w_{k}_{s}" for s in range(k)]
+    weighed = blocks.join(own, "series_id").select("series_id", "y", "block", *[(F.col(f"slot_{k}") == s).cast("double").alias(f"w_{k}_{s}") for s in range(k)])
+    sums = D.weighed_sums(weighed, matrix, names, _quantum(blocks))
+    inside = own.join(sums, "series_id").withColumn("sum", F.array(*names)[F.col(f"slot_{k}")])
+    return inside.groupBy(F.col(f"medoid_{k}").alias("cluster")).agg(F.min(F.struct("sum", "series_id"))["series_id"].alias("medoid"))
+
+
+def kmedoids_of(arrays: DataFrame, ks: list[int], matrix: D.Matrix) -> DataFrame:
+    """``(series_id, medoid_<k>, d_<k> ...)`` at the trained medoids of every k, as ``kmedoids`` has them from edges."""
+    blocks = D.ranged(arrays, rows=D.WIDE_ROWS)
+    return nearest_medoids(blocks, trained_medoids(blocks, ks, matrix), matrix)
+
+
 def spanning_tree(edges: DataFrame) -> DataFrame:
     """Minimum spanning forest ``(a, b, d)`` by rounds of cheapest outgoing edges; ties by node ids."""
     spark = edges.sparkSession
@@ -202,34 +302,47 @@ def mutual_reachability(edges: DataFrame, core: DataFrame) -> DataFrame:
 def hdbscan(edges: DataFrame, min_cluster_size: int = 5, min_samples: int = 5) -> DataFrame:
     """``(node, cluster)``, -1 for noise: spanning tree of mutual reachability, condensed, most stable clusters."""
     reach = mutual_reachability(edges, core_distance(D.mirrored(edges), min_samples))
+    return _labelled(reach, min_cluster_size)
+
+
+def hdbscan_of(arrays: DataFrame, r: int, min_cluster_size: int = 5, min_samples: int = 5) -> DataFrame:
+    """``hdbscan`` of curves by their envelope bound, without the matrix: nearest neighbours, then the trees of blocks."""
+    core = core_distance(D.distance_matrix(arrays, r, nearest=min_samples - 1, both_ways=True), min_samples - 1)
+    own = arrays.select("series_id", "y").join(cut(core, "core").toDF("series_id", "core"), "series_id")
+    return _labelled(D.tree_edges(own, D.lb_matrix(r), "core"), min_cluster_size)
+
+
+def _labelled(reach: DataFrame, min_cluster_size: int) -> DataFrame:
+    """The most stable clusters of edges of mutual reachability, or of all that a spanning tree may need."""
     tree = _tree_edges(spanning_tree(reach))
     nodes = sorted({x for _, a, b in tree for x in (a, b)})
     labels = _condense(nodes, tree, min_cluster_size)
-    kind = edges.schema["a"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame([(x, c) for x, c in zip(nodes, labels)], f"node {kind}, cluster int")
+    kind = reach.schema["a"].dataType.simpleString()
+    return reach.sparkSession.createDataFrame([(x, c) for x, c in zip(nodes, labels)], f"node {kind}, cluster int")
 
 
-def sizes_by_method(own: DataFrame, edges: DataFrame, methods: str, ks: str, r: int, iterations: int = 5) -> DataFrame:
+def sizes_by_method(own: DataFrame, methods: str, ks: str, r: int, iterations: int = 5) -> DataFrame:
     """``(method, k, cluster, n)`` for every method of a comma-separated list and every k of another.
 
-    The distance matrix serves whichever method needs one.  Hierarchical
+    No method needs the distance matrix.  Hierarchical
     clusters are the parts left when the k - 1 highest merges are undone.
     """
-    kept, out, tree = cut(edges, "methods"), [], None
+    out, tree, medoids = [], None, None
     for method in (m.strip() for m in methods.split(",")):
         for k in [int(v) for v in ks.split(",")] if method != "hdbscan" else [0]:
             if method == "kmeans":
                 labels = kmeans(own, k, iterations, envelope_bound(r)).select("cluster")
             elif method == "kmedoids":
-                labels = kmedoids(kept, k).select("cluster")
+                medoids = medoids if medoids is not None else cut(kmedoids_of(own, sorted({int(v) for v in ks.split(",")}), D.lb_matrix(r)), "methods-medoids")
+                labels = medoids.select(F.col(f"medoid_{k}").alias("cluster"))
             elif method == "hierarchical":
-                tree = tree if tree is not None else cut(spanning_tree(D.correlation_distance(own)), "methods-tree")
+                tree = tree if tree is not None else cut(spanning_tree(D.tree_edges(D.unit(own), D.correlation_matrix)), "methods-tree")
                 nodes = tree.select("a").union(tree.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("part"))
                 highest = tree.orderBy(F.desc("d"), F.desc("a"), F.desc("b")).limit(k - 1)
                 left = tree.join(highest.select("a", "b"), ["a", "b"], "left_anti")
                 labels = _components(nodes, left).select(F.col("part").alias("cluster"))
             elif method == "hdbscan":
-                labels = hdbscan(kept, 4, 3).select("cluster")
+                labels = hdbscan_of(own, r, 4, 3).select("cluster")
             else:
                 raise ValueError(f"unknown method {method!r}")
             out.append(labels.groupBy(F.col("cluster").cast("bigint").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(method).alias("method"), F.lit(k).alias("k"), "cluster", "n"))
