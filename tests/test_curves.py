@@ -202,7 +202,7 @@ def test_clusters_never_list_all_pairs(spark, sf, monkeypatch, name):
 
 
 def small_blocks(monkeypatch):
-    for name, n in (("BLOCK_ROWS", 4), ("WIDE_ROWS", 4), ("TREE_ROWS", 4), ("STRIP", 2), ("CHUNK", 3)):
+    for name, n in (("BLOCK_ROWS", 4), ("WIDE_ROWS", 4), ("TREE_ROWS", 3), ("STRIP", 2), ("CHUNK", 3)):
         monkeypatch.setattr(D, name, n)
 
 
