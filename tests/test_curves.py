@@ -223,6 +223,50 @@ def test_medoids_and_trees_equal_those_of_the_matrix(spark, monkeypatch):
     assert of(C.spanning_tree(D.tree_edges(df.join(core.toDF("series_id", "core"), "series_id"), matrix, "core"))) == of(C.spanning_tree(C.mutual_reachability(edges, core)))
 
 
+@pytest.mark.parametrize("name", ["distance_matrix", "matrix_mirror", "mutual_reachability", "pair_self_join", "corr_distance", "dtw_pairs", "fastdtw_pairs"])
+def test_listed_pairs_are_not_exchanged_again(spark, sf, name):
+    """A block goes through one exchange, not through one for each block that it meets; nothing joins or explodes pairs after."""
+    from tidecurve.plans import registry
+
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("MapInArrow")
+    assert below and "Join" not in above and "Generate" not in plan and below.count("Join") == 1
+
+
+def test_listed_pairs_equal_brute_force(spark, monkeypatch):
+    """Blocks of 4, a missing id, equal and flat curves: every pair once, both ways with the diagonal, and below no core distance."""
+    small_blocks(monkeypatch)
+    rng = np.random.default_rng(4)
+    y = np.round(rng.normal(size=(11, 8)).cumsum(1), 1)
+    df = frame(spark, *y).withColumn("core", F.col("series_id") / 2).union(spark.sql("select cast(null as bigint), array_repeat(0D, 8), 1D"))
+    bound = {(a, b): float(D.lb_matrix(2)(y[b : b + 1])(y[a : a + 1])[0, 0]) for a in range(11) for b in range(11) if a < b}
+    of = lambda **kw: {(r["a"], r["b"]): r["d"] for r in D.listed(df, D.lb_matrix(2), **kw).collect()}
+    assert of() == bound
+    assert of(mirror=True) == bound | {(b, a): d for (a, b), d in bound.items()} | {(a, a): 0.0 for a in range(11)}
+    assert of(core="core") == {(a, b): max(d, b / 2) for (a, b), d in bound.items()}
+    assert sorted(map(tuple, D.pairs(df).collect())) == sorted(bound)
+    assert not D.listed(df.where("series_id = 3"), D.lb_matrix(2), mirror=True).collect()
+
+
+def test_rounded_equals_the_engine(spark):
+    rng = np.random.default_rng(6)
+    d = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-7, 9, 3000), rng.integers(-99_999, 99_999, 3000) / 1e5, [0.0, 1e300, 4503599627370496.5, 0.00005, 2.67495, 1.00005]])
+    got = spark.createDataFrame([(float(v),) for v in d], "d double").select(F.round("d", 4)).collect()
+    assert np.array_equal(D.rounded(d, 4), [r[0] for r in got])
+    assert np.isnan(D.rounded(np.array([np.nan, np.inf]), 4)).tolist() == [True, False]
+
+
+@pytest.mark.parametrize("n", [3, 4, 7, 31])
+def test_warping_by_diagonals_equals_one_by_one(n):
+    rng = np.random.default_rng(n)
+    x, y = np.round(rng.normal(size=(6, n)).cumsum(1), 1), np.round(rng.normal(size=(9, n)).cumsum(1), 1)
+    x[3, n // 2] = y[5, 1] = np.nan
+    each = lambda f: [[f(a, b) for b in y] for a in x]
+    for w in (None, 1, 2, 5):
+        assert np.allclose(D.dtw_squared_matrix(w, 4)(y)(x), each(lambda a, b: D.dtw_squared(a, b, w)), equal_nan=True)
+    assert np.allclose(D.spatio_temporal_matrix(5)(y)(x), each(lambda a, b: D.spatio_temporal(a, b, 5)), equal_nan=True)
+
+
 def test_gaps_exceed_nothing_either_way():
     rng = np.random.default_rng(9)
     x, y = rng.normal(size=(7, 10)), rng.normal(size=(5, 10))
