@@ -531,14 +531,15 @@ def _banded_many(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray
     (size, n), m = a.shape, b.shape[1]
     cells, back = np.full((n + 1, m + 1, size), np.inf), np.zeros((n, m, size), np.int8)
     cells[0, 0] = 0.0
-    x, y = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    x, y, low, high = (np.ascontiguousarray(v.T) for v in (a, b, low, high))
     for i in range(n):
-        for j in range(low[:, i].min(), high[:, i].max() + 1):
-            slant, up, left = cells[i, j], cells[i, j + 1], cells[i + 1, j]
+        for j in range(low[i].min(), high[i].max() + 1):
+            # the bands of many pairs are wide together and each is narrow: only pairs whose own band has the cell are looked at
+            on = np.flatnonzero((low[i] <= j) & (j <= high[i]))
+            slant, up, left = cells[i, j].take(on), cells[i, j + 1].take(on), cells[i + 1, j].take(on)
             side = np.minimum(up, left)
-            back[i, j] = np.where(slant <= side, 0, np.where(up <= left, 1, 2))
-            inside = (low[:, i] <= j) & (j <= high[:, i])
-            cells[i + 1, j + 1] = np.where(inside, np.minimum(slant, side) + np.abs(x[i] - y[j]), np.inf)
+            back[i, j, on] = np.where(slant <= side, 0, np.where(up <= left, 1, 2))
+            cells[i + 1, j + 1, on] = np.minimum(slant, side) + np.abs(x[i].take(on) - y[j].take(on))
     path, k = [], np.arange(size)
     i, j = np.full(size, n - 1), np.full(size, m - 1)
     while len(k):
