@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +250,25 @@ def test_listed_pairs_equal_brute_force(spark, monkeypatch):
     assert not D.listed(df.where("series_id = 3"), D.lb_matrix(2), mirror=True).collect()
 
 
+def written_bytes(path, a, b, d, **kw):
+    """Rows of a strip as sorted tuples, and the bytes that each column takes as it is written."""
+    rows = pa.Table.from_batches(list(D._batches(a, b, d, **kw)))
+    pq.write_table(rows, path, compression="snappy", version="1.0", data_page_size=70_000)
+    group = pq.ParquetFile(path).metadata.row_group(0)
+    return sorted(zip(*rows.to_pydict().values())), [group.column(c).total_compressed_size for c in range(3)]
+
+
+@pytest.mark.parametrize("upper", [False, True])
+def test_mirrored_distance_is_written_as_a_copy(tmp_path, upper):
+    a, b = np.arange(5000, 5064), np.arange(5000 if upper else 20_000, 25_001)
+    d = np.round(np.abs(np.random.default_rng(3).normal(4.3, 1.3, (len(a), len(b)))), 4)
+    one, (_, _, once) = written_bytes(tmp_path / "one", a, b, d, upper=upper, digits=4)
+    two, (ids, other_ids, twice) = written_bytes(tmp_path / "two", a, b, d, upper=upper, digits=4, mirror=True)
+    assert one == sorted((i, j, v) for i, row in zip(a.tolist(), d.tolist()) for j, v in zip(b.tolist(), row) if i < j)
+    assert two == sorted(one + [(j, i, v) for i, j, v in one])
+    assert twice < 1.3 * once and ids + other_ids < 0.3 * len(two)
+
+
 def test_rounded_equals_the_engine(spark):
     rng = np.random.default_rng(6)
     d = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-7, 9, 3000), rng.integers(-99_999, 99_999, 3000) / 1e5, [0.0, 1e300, 4503599627370496.5, 0.00005, 2.67495, 1.00005]])

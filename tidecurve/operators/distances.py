@@ -23,8 +23,8 @@ from pyspark.sql.types import StructType
 from tidecurve.operators import series as S
 from tidecurve.shared import cut, drop, tasks
 
-#: Curves of a block at most, of one whose pairs are measured by strips, and of one whose distances are held at once; rows of a matrix measured at a time.
-BLOCK_ROWS, WIDE_ROWS, TREE_ROWS, STRIP, CHUNK = 2048, 8192, 4096, 64, 1024
+#: Curves of a block at most, of one whose pairs are measured by strips, and of one whose distances are held at once; rows of a matrix measured at a time; its columns given before they are mirrored.
+BLOCK_ROWS, WIDE_ROWS, TREE_ROWS, STRIP, CHUNK, PIECE = 2048, 8192, 4096, 64, 1024, 4
 
 
 def block_count(n: int, workers: int, rows: int = BLOCK_ROWS) -> int:
@@ -151,13 +151,25 @@ def listed(arrays: DataFrame, matrix: Matrix, digits: int | None = None, mirror:
 
 
 def _batches(a: np.ndarray, b: np.ndarray, d: np.ndarray, upper: bool, digits: int | None, mirror: bool = False) -> Iterator[pa.RecordBatch]:
-    """Distances of each a to each b as rows, ``upper``: only what lies above the diagonal."""
-    above = np.triu(np.ones(d.shape, bool), 1).ravel() if upper else slice(None)
-    a, b, d = np.repeat(a, len(b))[above], np.tile(b, len(a))[above], d.ravel()[above]
-    d = d if digits is None else rounded(d, digits)
-    yield _batch(a, b, d)
-    if mirror:
-        yield _batch(b, a, d)
+    """Distances of each a to each b as rows, ``upper``: only what lies above the diagonal.
+
+    Rows go b by b, each with all of the strip's a, and what is mirrored comes
+    right after its piece: so in a written result ids are runs and short
+    repeats and a mirrored distance is a copy, of hardly any bytes.
+    """
+    d = d.T.ravel()
+    d = (d if digits is None else rounded(d, digits)).reshape(len(b), len(a))
+    own, other = np.broadcast_to(a, d.shape), np.broadcast_to(b[:, None], d.shape)
+    above = np.tril(np.ones(d.shape, bool), -1) if upper else None
+    if not mirror:
+        yield _batch(*((v[above] if upper else v.ravel()) for v in (own, other, d)))
+        return
+    whole = len(b) // PIECE * PIECE
+    for part, size in ((slice(0, whole), PIECE), (slice(whole, len(b)), len(b) - whole)):
+        if size and part.start < part.stop:
+            laid = lambda *sides: np.stack([v[part].reshape(-1, size * len(a)) for v in sides], 1).ravel()
+            kept = laid(above, above) if upper else slice(None)
+            yield _batch(laid(own, other)[kept], laid(other, own)[kept], laid(d, d)[kept])
 
 
 def _batch(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
