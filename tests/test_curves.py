@@ -269,6 +269,22 @@ def test_mirrored_distance_is_written_as_a_copy(tmp_path, upper):
     assert twice < 1.3 * once and ids + other_ids < 0.3 * len(two)
 
 
+@pytest.mark.parametrize(
+    "matrix",
+    [
+        pytest.param(D.dtw_squared_matrix(5), id="dtw_sq_pairs"),
+    ],
+)
+def test_ids_of_warped_pairs_take_hardly_any_bytes(tmp_path, matrix):
+    """A strip of 64 curves against a block of the warping queries: what is written is the distances."""
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(D.STRIP, 12)).cumsum(1), rng.normal(size=(D.BLOCK_ROWS, 12)).cumsum(1)
+    a, b, d = np.arange(len(x)), np.arange(100, 100 + len(y)), matrix(y)(x)
+    rows, (ids, other_ids, _) = written_bytes(tmp_path / "rows", a, b, d, upper=False, digits=6)
+    assert rows == sorted((i, j, v) for i, row in zip(a.tolist(), D.rounded(d.ravel(), 6).reshape(d.shape).tolist()) for j, v in zip(b.tolist(), row))
+    assert ids + other_ids < 0.25 * len(rows)
+
+
 def test_rounded_equals_the_engine(spark):
     rng = np.random.default_rng(6)
     d = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-7, 9, 3000), rng.integers(-99_999, 99_999, 3000) / 1e5, [0.0, 1e300, 4503599627370496.5, 0.00005, 2.67495, 1.00005]])
