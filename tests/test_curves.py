@@ -273,6 +273,7 @@ def test_mirrored_distance_is_written_as_a_copy(tmp_path, upper):
     "matrix",
     [
         pytest.param(D.dtw_squared_matrix(5), id="dtw_sq_pairs"),
+        pytest.param(D.rooted(D.dtw_squared_matrix(5)), id="dtw_pairs"),
     ],
 )
 def test_ids_of_warped_pairs_take_hardly_any_bytes(tmp_path, matrix):
