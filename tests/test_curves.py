@@ -274,6 +274,7 @@ def test_mirrored_distance_is_written_as_a_copy(tmp_path, upper):
     [
         pytest.param(D.dtw_squared_matrix(5), id="dtw_sq_pairs"),
         pytest.param(D.rooted(D.dtw_squared_matrix(5)), id="dtw_pairs"),
+        pytest.param(D.spatio_temporal_matrix(5), id="spatiotemporal_dist"),
     ],
 )
 def test_ids_of_warped_pairs_take_hardly_any_bytes(tmp_path, matrix):
